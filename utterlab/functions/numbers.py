@@ -12,7 +12,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from utterlab.functions.text import canonical_text, nfc
+from utterlab.functions.text import canonical_text, let, nfc
 
 # The words that count as numbers.
 DIGIT_WORDS = {
@@ -59,6 +59,12 @@ def _any(words: dict[str, int]) -> str:
     return "(?:" + "|".join(re.escape(w) for w in sorted(words, key=len, reverse=True)) + ")"
 
 
+def _repeat(times: int) -> str:
+    """A repeat word, with the digit word that follows it captured but not consumed."""
+    words = {w: t for w, t in _REPEATS.items() if t == times}
+    return f"(?<!\\S){_any(words)} (?=({_any(_DIGITS)})(?!\\S))"
+
+
 _WORD = f"(?<!\\S){_any(_DIGITS | _TENS | _MULTIPLIERS)}(?!\\S)"
 _RUN = f"{_WORD}(?: {_WORD})*"
 _GROUP = r"(?<!\S)[0-9]+(?: [0-9]+)+(?!\S)"
@@ -87,8 +93,7 @@ def _positional(tokens: Column) -> Column:
     def step(state: Column, token: Column) -> Column:
         unit = F.try_element_at(units, token)
         pending = F.when(state["now"] == 0, wide(F.lit(1))).otherwise(state["now"])
-        scaled = F.try_multiply(pending, F.coalesce(unit, F.lit(1)).cast("decimal(10,0)"))
-        scaled = wide(F.try_to_number(scaled.cast("string"), F.lit("9" * 38)))
+        scaled = wide(F.try_multiply(pending, F.coalesce(unit, F.lit(1)).cast("decimal(10,0)")))
         plain = F.coalesce(F.try_element_at(digits, token), F.try_element_at(tens, token), F.lit(0))
         return F.struct(
             F.when(unit > 100, wide(F.try_add(state["sum"], scaled)))
@@ -113,10 +118,16 @@ def _read_run(run: Column) -> Column:
 
 def _rewrite(text: Column, pattern: str, read) -> Column:
     """Replace every match of ``pattern`` by ``read(match)``."""
-    gaps = F.split(text, pattern)
-    read_hits = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), read)
-    return F.array_join(
-        F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(read_hits, i), F.lit("")))), ""
+    return let(
+        text,
+        lambda t: F.array_join(
+            F.zip_with(
+                F.split(t, pattern),
+                F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), read),
+                lambda gap, hit: F.concat(gap, F.coalesce(hit, F.lit(""))),
+            ),
+            "",
+        ),
     )
 
 
@@ -128,20 +139,21 @@ def digit_text(canonical: Column) -> Column:
     other run by place value; neighbouring digit tokens merge when none is
     longer than four digits.
     """
-    text = F.translate(canonical, "०१२३४५६७८९", "0123456789")
-    for word, times in _REPEATS.items():
-        text = F.regexp_replace(
+
+    def rewrite(canonical: Column) -> Column:
+        text = F.translate(canonical, "०१२३४५६७८९", "0123456789")
+        # one pass, so a repeat word can only see the token that was written after it
+        text = F.regexp_replace(text, f"{_repeat(2)}|{_repeat(3)}", "$1 $2 $2 ")
+        text = F.trim(F.regexp_replace(text, " +", " "))
+        text = _rewrite(text, _RUN, _read_run)
+        text = _rewrite(
             text,
-            f"(?<!\\S){re.escape(word)} (?=({_any(_DIGITS)})(?!\\S))",
-            "$1 " * (times - 1),
+            _GROUP,
+            lambda g: F.when(g.rlike("[0-9]{5}"), g).otherwise(F.replace(g, F.lit(" "))),
         )
-    text = _rewrite(text, _RUN, _read_run)
-    merged = _rewrite(
-        text,
-        _GROUP,
-        lambda g: F.when(g.rlike("[0-9]{5}"), g).otherwise(F.replace(g, F.lit(" "))),
-    )
-    return F.when(canonical.rlike(_TOUCHED), merged).otherwise(canonical)
+        return F.when(canonical.rlike(_TOUCHED), text).otherwise(canonical)
+
+    return let(canonical, rewrite)
 
 
 def to_digit_text(text: Column) -> Column:

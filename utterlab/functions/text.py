@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -25,6 +26,11 @@ def _nfc(texts: pa.Array) -> pa.Array:
     )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind ``value`` once and use it many times inside ``body``."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def nfc(text: Column) -> Column:
     """Unicode NFC. Code points below U+0300 are always composed already, so a
     text made only of those (all ASCII, all Latin-1) never reaches Python."""
@@ -68,7 +74,7 @@ def fold(text: Column) -> Column:
     folding expands is lower-cased instead, so offsets stay valid."""
     lowered = F.lower(text)
     return F.when(
-        text.rlike(f"[{_FOLD_FROM}]") & ~text.rlike(f"[{_EXPANDING}]"),
+        lowered.rlike(f"[{_FOLD_FROM}]") & ~text.rlike(f"[{_EXPANDING}]"),
         F.translate(lowered, _FOLD_FROM, _FOLD_TO),
     ).otherwise(lowered)
 
