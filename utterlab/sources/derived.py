@@ -261,3 +261,135 @@ marks AS (
          epoch_us(ts) * 1000 AS at_ns, event_id AS seq
   FROM events
 )"""
+
+
+def tool_tasks(spark: SparkSession, folder: str) -> DataFrame:
+    """One tool task per part: its expected call and function schema as JSON."""
+    part = table(spark, folder, "part")
+    words = F.split("p_name", " ")
+    brand_no = F.regexp_extract("p_brand", r"(\d+)", 1)
+    expected = F.concat(
+        F.lit('[{"find_part":{"brand":["'), F.col("p_brand"), F.lit('","No. '), brand_no,
+        F.lit('"],"words":["'), F.array_join(words, '","'), F.lit('"]}}]'),
+    )
+    functions = F.lit(
+        '[{"name":"find_part","parameters":{"type":"dict","properties":'
+        '{"brand":{"type":"string"},"words":{"type":"array"},"size":{"type":"float"}}}}]'
+    )
+    return part.select(
+        F.when(F.col("p_partkey") % 2 == 0, "english").otherwise("hindi").alias("language"),
+        F.concat(F.lit("part_"), F.col("p_partkey").cast("string")).alias("example_id"),
+        F.concat(F.lit("find "), F.col("p_name"), F.lit(" by "), F.col("p_brand")).alias("query"),
+        expected.alias("expected_json"),
+        functions.alias("functions_json"),
+        "p_partkey",
+        "p_brand",
+        "p_type",
+        "p_size",
+        words.alias("words"),
+    )
+
+
+def tool_calls(spark: SparkSession, folder: str) -> DataFrame:
+    """Logged calls of three runs under two conditions, wrong in nine ways."""
+    from utterlab.operators.judging import array_params, expected_call
+
+    cells = (
+        tool_tasks(spark, folder)
+        .withColumn("expected_call", expected_call(F.col("expected_json")))
+        .withColumn("c", F.explode(F.array(F.lit(0), F.lit(1))))
+        .withColumn("run", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+    )
+    way = F.col("way")
+    words = (
+        F.when(way == 1, F.reverse("words"))
+        .when(way == 2, F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(1))))
+        .otherwise(F.col("words"))
+    )
+    brand = (
+        F.when(way == 3, F.upper("p_brand")).when(way == 7, "ब्रांड").otherwise(F.col("p_brand"))
+    )
+    listed = F.concat(F.lit('["'), F.array_join(words, '","'), F.lit('"]'))
+    tail = (
+        F.when(way == 6, "}")
+        .when(
+            way == 8, F.concat(F.lit(',"words":"'), F.col("words")[0], F.lit('","note":2.0}'))
+        )
+        .otherwise(F.concat(F.lit(',"words":'), listed, F.lit("}")))
+    )
+    called = way != 4
+    return (
+        cells.withColumn("way", (F.col("p_partkey") * 3 + F.col("run") * 5 + F.col("c") * 2) % 9)
+        .select(
+            "language",
+            "example_id",
+            F.when(F.col("c") == 0, "gt").otherwise("alpha").alias("condition"),
+            "run",
+            "query",
+            F.when(way == 5, "find_supplier").when(called, "find_part").alias("called_name"),
+            F.when(called, F.concat(F.lit('{"brand":"'), brand, F.lit('"'), tail)).alias(
+                "arguments_json"
+            ),
+            F.col("expected_call.name").alias("expected_name"),
+            F.col("expected_call.arguments").alias("expected"),
+            array_params(F.col("functions_json"), F.col("expected_call.name")).alias(
+                "array_params"
+            ),
+            F.when((way == 4) & (F.col("p_size") % 2 == 0), "tool_validation_failed")
+            .otherwise("")
+            .alias("error_class"),
+            F.when(way.isin(0, 8), "pass").otherwise("fail").alias("outcome"),
+            (F.col("p_partkey") * 6 + F.col("c") * 3 + F.col("run")).alias("ingest_pos"),
+        )
+    )
+
+
+CALLS_SQL = """
+cells AS (
+  SELECT *, string_split(p_name, ' ') AS words, (p_partkey * 3 + run * 5 + c * 2) % 9 AS way
+  FROM part, (SELECT unnest([0, 1]) AS c), (SELECT unnest([1, 2, 3]) AS run)
+),
+calls AS (
+  SELECT CASE WHEN p_partkey % 2 = 0 THEN 'english' ELSE 'hindi' END AS language,
+         'part_' || p_partkey AS example_id, CASE c WHEN 0 THEN 'gt' ELSE 'alpha' END AS condition,
+         CAST(run AS INT) AS run, p_partkey,
+         CASE WHEN way = 5 THEN 'find_supplier' WHEN way <> 4 THEN 'find_part' END AS called_name,
+         CASE WHEN way = 3 THEN upper(p_brand) WHEN way = 7 THEN 'ब्रांड'
+              ELSE p_brand END AS brand,
+         [p_brand, 'No. ' || regexp_extract(p_brand, '[0-9]+')] AS brand_ok,
+         words AS words_ok,
+         CASE WHEN way = 1 THEN list_reverse(words)
+              WHEN way = 2 THEN list_slice(words, 1, greatest(len(words) - 1, 1))
+              WHEN way = 8 THEN [words[1]] ELSE words END AS given,
+         way = 8 AS scalar, way = 6 AS no_words,
+         CASE WHEN way = 4 AND p_size % 2 = 0 THEN 'tool_validation_failed' ELSE '' END
+           AS error_class,
+         CASE WHEN way IN (0, 8) THEN 'pass' ELSE 'fail' END AS outcome,
+         p_partkey * 6 + c * 3 + run AS ingest_pos
+  FROM cells
+),
+judged AS (
+  SELECT *,
+    coalesce(called_name = 'find_part' AND NOT no_words, false) AS reached,
+    list_contains(list_transform(brand_ok, lambda b: lower(b)), lower(brand)) AS brand_good,
+    CASE WHEN scalar THEN list_contains(list_transform(words_ok, lambda w: lower(w)),
+                                        lower(given[1])) ELSE false END AS words_exact,
+    list_sort(list_distinct(list_transform(given, lambda w: lower(w))))
+      = list_sort(list_distinct(list_transform(words_ok, lambda w: lower(w)))) AS words_listed,
+    CASE WHEN scalar THEN '"' || given[1] || '"'
+         ELSE '["' || array_to_string(given, '", "') || '"]' END AS words_json
+  FROM calls
+),
+items AS (
+  SELECT *, 'brand' AS parameter, '"' || brand || '"' AS returned_value,
+         array_to_string(brand_ok, ' | ') AS accepted_values
+  FROM judged WHERE reached AND NOT brand_good
+  UNION ALL BY NAME
+  SELECT *, 'words' AS parameter, words_json AS returned_value,
+         array_to_string(words_ok, ' | ') AS accepted_values
+  FROM judged WHERE reached AND NOT words_listed
+),
+keyed AS (
+  SELECT *, language || '|' || example_id || '|' || parameter || '|' || lower(returned_value)
+    AS key FROM items
+)"""
