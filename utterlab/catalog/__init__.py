@@ -27,6 +27,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load_all() -> None:
     from utterlab.catalog import (  # noqa: F401
+        entities,
         judging,
         noise,
         transcripts,
