@@ -30,5 +30,6 @@ def load_all() -> None:
         entities,
         judging,
         noise,
+        sampling,
         transcripts,
     )
