@@ -31,5 +31,6 @@ def load_all() -> None:
         judging,
         noise,
         sampling,
+        timing,
         transcripts,
     )
