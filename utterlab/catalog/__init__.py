@@ -31,6 +31,7 @@ def load_all() -> None:
         judging,
         noise,
         sampling,
+        streams,
         timing,
         transcripts,
     )

@@ -97,17 +97,17 @@ def turn_times(spark, folder):
         ON x.session_id = t.session_id AND x.turn_id = t.turn_id AND x.stage = n.stage
       UNION ALL SELECT session_id, 'ttfa', (audio_ns - t0_ns) / 1000000 FROM times)
     SELECT session_id, stage, count(ms) AS n,
-      round(coalesce(quantile_cont(ms, 0.5), 0), 2) AS p50_ms,
-      round(coalesce(quantile_cont(ms, 0.9), 0), 2) AS p90_ms,
-      round(coalesce(quantile_cont(ms, 0.99), 0), 2) AS p99_ms,
-      round(coalesce(max(ms), 0), 2) AS max_ms
+      round(coalesce(quantile_cont(ms, 0.5), 0), 0) AS p50_ms,
+      round(coalesce(quantile_cont(ms, 0.9), 0), 0) AS p90_ms,
+      round(coalesce(quantile_cont(ms, 0.99), 0), 0) AS p99_ms,
+      coalesce(max(ms), 0) AS max_ms
     FROM long GROUP BY session_id, stage""",
 )
 def session_percentiles(spark, folder):
     spans, times = spans_and_times(spark, folder)
     out = timing.session_percentiles(spans, times, AS_OF)
     return out.withColumns(
-        {c: F.round(c, 2) for c in ("p50_ms", "p90_ms", "p99_ms", "max_ms")}
+        {c: F.round(c, 0) for c in ("p50_ms", "p90_ms", "p99_ms")}
     )
 
 

@@ -393,3 +393,105 @@ keyed AS (
   SELECT *, language || '|' || example_id || '|' || parameter || '|' || lower(returned_value)
     AS key FROM items
 )"""
+
+
+def score_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Speech scores: a user's events in time order are one stream of windows."""
+    from utterlab.operators.scan import ranked
+
+    ev = table(spark, folder, "events").select("user_id", "ts", "event_id", "value")
+    placed = ranked(ev, ["user_id"], F.date_trunc("day", "ts"), ["ts", "event_id"], "n")
+    return placed.select(
+        F.col("user_id").alias("stream_id"),
+        (F.col("n") - 1).alias("seq"),
+        F.least(F.col("value") / 50, F.lit(1.0)).alias("prob"),
+        F.col("ts").cast("timestamp").alias("ts"),
+    )
+
+
+WINDOWS_SQL = """
+windows AS (
+  SELECT user_id AS stream_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1
+           AS seq, least(value / 50, 1.0) AS prob
+  FROM events
+)"""
+
+
+def call_messages(spark: SparkSession, folder: str) -> DataFrame:
+    """Call-stream text frames from events; every fiftieth is broken in some way."""
+    return table(spark, folder, "events").select("event_id", "user_id", message_text())
+
+
+def message_text() -> Column:
+    sid = F.concat(F.lit('"streamSid":"S'), F.col("user_id").cast("string"), F.lit('"'))
+    kind = F.col("event_id") % 7
+    chunk = F.floor(F.col("event_id") / 7).cast("string")
+    body = (
+        F.when(kind == 0, F.lit('{"event":"connected","protocol":"Call","version":"1.0"}'))
+        .when(
+            kind == 1,
+            F.concat(
+                F.lit('{"event":"start",'), sid, F.lit(',"start":{'), sid,
+                F.lit(',"accountSid":"A","callSid":"C","tracks":["inbound"],"mediaFormat":'
+                      '{"encoding":"audio/x-mulaw","sampleRate":8000,"channels":1}}}'),
+            ),
+        )
+        .when(kind == 2, F.concat(F.lit('{"event":"stop",'), sid,
+                                  F.lit(',"stop":{"accountSid":"A","callSid":"C"}}')))
+        .when(kind == 3, F.concat(F.lit('{"event":"mark",'), sid, F.lit(',"mark":{"name":"m"}}')))
+        .when(kind == 4, F.concat(F.lit('{"event":"dtmf",'), sid,
+                                  F.lit(',"dtmf":{"track":"inbound","digit":"1"}}')))
+        .when(kind == 5, F.concat(F.lit('{"event":"clear",'), sid, F.lit("}")))
+        .otherwise(F.concat(F.lit('{"event":"media",'), sid, F.lit(',"media":{"payload":"AA==","chunk":"'),
+                            chunk, F.lit('"}}')))
+    )
+    broken = F.col("event_id") % 50
+    return (
+        F.when(broken == 0, F.lit('{"event":"media"'))
+        .when(broken == 17, F.lit('{"event":"video"}'))
+        .when(broken == 34, F.lit('{"event":"media","media":{"payload":"AA=="}}'))
+        .otherwise(body)
+        .alias("raw")
+    )
+
+
+def text_deltas(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversation turns cut into five-character deltas."""
+    turns = table(spark, folder, "conversations")
+    pieces = F.regexp_extract_all("text", F.lit(r"(?s).{1,5}"), F.lit(0))
+    return turns.select("conv_id", "turn", F.posexplode(pieces).alias("seq", "text"))
+
+
+def call_fragments(spark: SparkSession, folder: str) -> DataFrame:
+    """Streamed tool-call fragments: two calls per order, arguments in three parts."""
+    orders = table(spark, folder, "orders")
+    broken = F.col("o_orderkey") % 11 == 0
+
+    def part(seq: int, call_id, name: str, arguments) -> Column:
+        return F.struct(
+            F.lit(seq).alias("seq"),
+            call_id.alias("call_id"),
+            F.lit(name).alias("name"),
+            arguments.alias("arguments"),
+        )
+
+    key = F.col("o_orderkey").cast("string")
+    parts = F.array(
+        part(0, F.lit("first_"), "find", F.lit('{"status":')),
+        part(1, F.lit(""), "", F.concat(F.lit('"'), F.col("o_orderstatus"), F.lit('","k":'))),
+        part(
+            2,
+            F.when(F.col("o_orderkey") % 3 == 0, "last_").otherwise(""),
+            "find_order",
+            F.when(broken, F.lit("oops")).otherwise(F.concat(key, F.lit("}"))),
+        ),
+    )
+    rows = orders.select(
+        F.col("o_orderkey").alias("turn_id"),
+        F.explode(F.array(F.lit(0), F.lit(1))).alias("index"),
+        parts.alias("parts"),
+    ).select("turn_id", "index", F.inline("parts"))
+    named = (F.col("index") == 0) & (F.col("call_id") != "")
+    return rows.withColumn(
+        "id", F.when(named, F.concat("call_id", F.col("turn_id").cast("string"))).otherwise("")
+    ).drop("call_id")
