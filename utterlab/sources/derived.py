@@ -464,34 +464,32 @@ def text_deltas(spark: SparkSession, folder: str) -> DataFrame:
 
 def call_fragments(spark: SparkSession, folder: str) -> DataFrame:
     """Streamed tool-call fragments: two calls per order, arguments in three parts."""
-    orders = table(spark, folder, "orders")
-    broken = F.col("o_orderkey") % 11 == 0
-
-    def part(seq: int, call_id, name: str, arguments) -> Column:
-        return F.struct(
-            F.lit(seq).alias("seq"),
-            call_id.alias("call_id"),
-            F.lit(name).alias("name"),
-            arguments.alias("arguments"),
-        )
-
+    rows = (
+        table(spark, folder, "orders")
+        .withColumn("index", F.explode(F.array(F.lit(0), F.lit(1))))
+        .withColumn("seq", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    )
     key = F.col("o_orderkey").cast("string")
-    parts = F.array(
-        part(0, F.lit("first_"), "find", F.lit('{"status":')),
-        part(1, F.lit(""), "", F.concat(F.lit('"'), F.col("o_orderstatus"), F.lit('","k":'))),
-        part(
-            2,
-            F.when(F.col("o_orderkey") % 3 == 0, "last_").otherwise(""),
-            "find_order",
-            F.when(broken, F.lit("oops")).otherwise(F.concat(key, F.lit("}"))),
-        ),
+    seq = F.col("seq")
+    call_id = (
+        F.when((F.col("index") == 0) & (seq == 0), F.concat(F.lit("first_"), key))
+        .when(
+            (F.col("index") == 0) & (seq == 2) & (F.col("o_orderkey") % 3 == 0),
+            F.concat(F.lit("last_"), key),
+        )
+        .otherwise("")
+    )
+    arguments = (
+        F.when(seq == 0, '{"status":')
+        .when(seq == 1, F.concat(F.lit('"'), F.col("o_orderstatus"), F.lit('","k":')))
+        .when(F.col("o_orderkey") % 11 == 0, "oops")
+        .otherwise(F.concat(key, F.lit("}")))
     )
-    rows = orders.select(
+    return rows.select(
         F.col("o_orderkey").alias("turn_id"),
-        F.explode(F.array(F.lit(0), F.lit(1))).alias("index"),
-        parts.alias("parts"),
-    ).select("turn_id", "index", F.inline("parts"))
-    named = (F.col("index") == 0) & (F.col("call_id") != "")
-    return rows.withColumn(
-        "id", F.when(named, F.concat("call_id", F.col("turn_id").cast("string"))).otherwise("")
-    ).drop("call_id")
+        "index",
+        "seq",
+        call_id.alias("id"),
+        F.when(seq == 0, "find").when(seq == 2, "find_order").otherwise("").alias("name"),
+        arguments.alias("arguments"),
+    )
