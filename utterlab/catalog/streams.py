@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from utterlab.catalog import query
+from utterlab.catalog import ORACLES, query, sampling  # noqa: F401 - its oracle is shared
+from utterlab.catalog.entities import word_lexicon
+from utterlab.catalog.timing import AS_OF, TIMES_SQL, TOTALS_SQL
 from utterlab.operators import endpointing as ep
+from utterlab.operators.logs import latest as logs_latest
+from utterlab.plans.timing import DEFAULT_BUDGETS
+from utterlab.session import shared_folder
 from utterlab.sources import derived, logs, messages
-from utterlab.sources.derived import WINDOWS_SQL
+from utterlab.sources.derived import SPANS_SQL, WINDOWS_SQL
+from utterlab.streaming import operators as st
+from utterlab.streaming import run
 from utterlab.sources.tables import table
 
 ROUTE_SQL = """
@@ -162,3 +171,210 @@ def reference_lines(spark, folder):
     orders = table(spark, folder, "orders").select("o_orderkey", line.alias("line"))
     uttid, text = logs.keyed_text(F.col("line"))
     return orders.select("o_orderkey", uttid.alias("uttid"), text.alias("text"))
+
+
+CALL_WINDOWS_SQL = """
+windows AS (
+  SELECT event_id // 100 AS stream_id, event_id % 100 AS seq, least(value / 50, 1.0) AS prob
+  FROM events
+)"""
+
+
+@query(
+    "stream_utterances",
+    f"""WITH {UTTERANCE_SQL.replace(WINDOWS_SQL, CALL_WINDOWS_SQL)}
+    SELECT stream_id, 'speech_started' AS event, start_seq AS seq FROM utterances
+    UNION ALL SELECT stream_id, 'speech_ended', end_seq FROM utterances WHERE end_seq IS NOT NULL""",
+)
+def stream_utterances(spark, folder):
+    windows = run.read_stream(spark, folder, "events").select(
+        F.floor(F.col("event_id") / 100).alias("stream_id"),
+        (F.col("event_id") % 100).alias("seq"),
+        F.least(F.col("value") / 50, F.lit(1.0)).alias("prob"),
+        F.col("ts").cast("timestamp").alias("ts"),
+    )
+    return run.run_append(st.utterance_events(windows, min_silence_ms=100.0), "utterances")
+
+
+def turn_events(spark, folder):
+    ev = run.read_stream(spark, folder, "events")
+    span = derived.span_columns()
+    mark = derived.mark_columns()
+    both = F.array(
+        F.struct(
+            F.lit("span").alias("kind"), span["stage"].alias("name"),
+            span["start_ns"].alias("start_ns"), span["end_ns"].alias("end_ns"),
+        ),
+        F.struct(
+            F.lit("mark").alias("kind"), mark["name"].alias("name"),
+            span["start_ns"].alias("start_ns"), F.lit(None).cast("bigint").alias("end_ns"),
+        ),
+    )
+    return ev.select(
+        F.col("user_id").alias("session_id"),
+        F.date_format("ts", "yyyy-MM-dd").alias("turn_id"),
+        F.col("event_id").alias("seq"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.inline(both),
+    )
+
+
+STREAM_TURNS_SQL = f"""{SPANS_SQL}, {TIMES_SQL},
+closed_turns AS (
+  SELECT user_id AS session_id, strftime(ts, '%Y-%m-%d') AS turn_id, count(*) AS n_spans
+  FROM events GROUP BY ALL
+  HAVING max(ts) + INTERVAL 1 HOUR < (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE
+)"""
+
+
+@query(
+    "stream_turns",
+    f"""WITH {STREAM_TURNS_SQL} SELECT session_id, turn_id, n_spans, t0_ns,
+      round((audio_ns - t0_ns) / 1000000, 3) AS ttfa_ms,
+      round((last_ns - t0_ns) / 1000000, 3) AS total_ms, 'idle' AS closed_by
+    FROM closed_turns JOIN times USING (session_id, turn_id)""",
+)
+def stream_turns(spark, folder):
+    out = run.run_append(st.turns(turn_events(spark, folder)), "turns")
+    return out.drop("stage_ms").withColumns(
+        {c: F.round(c, 3) for c in ("ttfa_ms", "total_ms")}
+    )
+
+
+@query(
+    "stream_budget_alerts",
+    f"""WITH {STREAM_TURNS_SQL}, {TOTALS_SQL.split(SPANS_SQL + ",")[1].replace(
+        f"coalesce(end_ns, {AS_OF})", "coalesce(end_ns, (SELECT max(greatest(m.at_ns, "
+        "coalesce(o.end_ns, 0))) FROM marks m JOIN spans o USING (session_id, turn_id) WHERE "
+        "m.session_id = spans.session_id AND m.turn_id = spans.turn_id))")},
+    actual AS (
+      SELECT session_id, turn_id, stage, total_ms AS actual_ms FROM totals
+      UNION ALL SELECT session_id, turn_id, 'ttfa', (audio_ns - t0_ns) / 1000000 FROM times
+      WHERE audio_ns IS NOT NULL),
+    budgets(stage, budget_ms) AS (VALUES ('ttfa', 800.0::DOUBLE), ('endpoint', 300.0),
+      ('stt', 200.0), ('llm', 300.0), ('tts', 150.0))
+    SELECT session_id, turn_id, stage, budget_ms, round(actual_ms, 3) AS actual_ms
+    FROM actual JOIN budgets USING (stage) JOIN closed_turns USING (session_id, turn_id)
+    WHERE actual_ms > budget_ms""",
+)
+def stream_budget_alerts(spark, folder):
+    turns = st.turns(turn_events(spark, folder))
+    alerts = run.run_append(st.budget_alerts(turns, DEFAULT_BUDGETS), "alerts")
+    return alerts.drop("over_by_ms").withColumn("actual_ms", F.round("actual_ms", 3))
+
+
+@query(
+    "stream_barge_ins",
+    f"""WITH {SPANS_SQL} SELECT t.session_id, t.turn_id, t.seq AS turn_seq, s.seq AS speech_seq
+    FROM spans t JOIN spans s ON t.session_id = s.session_id
+      AND s.start_ns > t.start_ns AND s.start_ns < t.end_ns
+    WHERE t.stage = 'tts' AND s.stage = 'endpoint'""",
+)
+def stream_barge_ins(spark, folder):
+    span = derived.span_columns()
+    at = F.col("ts").cast("timestamp")
+    turns = (
+        run.read_stream(spark, folder, "events")
+        .where((span["stage"] == "tts") & span["end_ns"].isNotNull())
+        .select(
+            F.col("user_id").alias("session_id"),
+            F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd").alias("t"), F.col("event_id").alias("e"))).alias("turn_id"),
+            at.alias("started"),
+            F.timestamp_micros(F.floor(span["end_ns"] / 1000)).alias("ended"),
+        )
+    )
+    speech = (
+        run.read_stream(spark, folder, "events")
+        .where(span["stage"] == "endpoint")
+        .select(F.col("user_id").alias("session_id"), at.alias("spoke_at"), "event_id")
+    )
+    joined = run.run_append(st.barge_ins(turns, speech, keep=["event_id"]), "barge")
+    return joined.select(
+        "session_id",
+        F.get_json_object("turn_id", "$.t").alias("turn_id"),
+        F.get_json_object("turn_id", "$.e").cast("bigint").alias("turn_seq"),
+        F.col("event_id").alias("speech_seq"),
+    )
+
+
+@query("stream_sentences", ORACLES["turn_sentences"])
+def stream_sentences(spark, folder):
+    turns = run.read_stream(spark, folder, "conversations")
+    pieces = F.regexp_extract_all("text", F.lit(r"(?s).{1,5}"), F.lit(0))
+    deltas = turns.select(
+        "conv_id", "turn", F.size(pieces).alias("k"), F.posexplode(pieces).alias("seq", "piece")
+    ).select(
+        "conv_id",
+        "turn",
+        "seq",
+        F.col("piece").alias("text"),
+        (F.col("seq") == F.col("k") - 1).alias("is_final"),
+    )
+    return run.run_append(st.sentences(deltas, ["conv_id", "turn"]), "sentences")
+
+
+@query("stream_tool_calls", ORACLES["assembled_tool_calls"])
+def stream_tool_calls(spark, folder):
+    fragments = derived.fragments_of(run.read_stream(spark, folder, "orders")).withColumn(
+        "is_final", (F.col("seq") == 2) & (F.col("index") == 1)
+    )
+    return run.run_append(st.tool_calls(fragments, ["turn_id"]), "tool-calls")
+
+
+@query(
+    "stream_latest_outcomes",
+    """SELECT user_id, event_type, arg_max(value, event_id) AS value
+    FROM events GROUP BY ALL""",
+)
+def stream_latest_outcomes(spark, folder):
+    log = run.read_stream(spark, folder, "events").withColumnRenamed("event_id", "ingest_pos")
+    keys = ["user_id", "event_type"]
+    changes = run.run_updates(st.latest(log, keys, ["value"], "ingest_pos"), "latest")
+    return logs_latest(changes, keys, "batch")
+
+
+@query(
+    "stream_window_percentiles",
+    """WITH w AS (SELECT *, unnest(generate_series(0, 3)) AS k FROM events),
+    x AS (SELECT time_bucket(INTERVAL 15 MINUTE, ts) - k * INTERVAL 15 MINUTE AS window_start,
+                 event_type, value FROM w)
+    SELECT window_start, event_type, count(*) AS n,
+      quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.9) AS p90 FROM x
+    WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 30 MINUTE
+    GROUP BY ALL""",
+)
+def stream_window_percentiles(spark, folder):
+    rows = run.read_stream(spark, folder, "events").select(
+        F.col("ts").cast("timestamp").alias("ts"), "event_type", "value"
+    )
+    out = run.run_append(st.rolling_percentiles(rows, "event_type", "value"), "percentiles")
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("stream_messages", ORACLES["call_messages"])
+def stream_messages(spark, folder):
+    frames = run.read_stream(spark, folder, "events").select(
+        "event_id", "user_id", derived.message_text()
+    )
+    parsed = messages.parse_messages(frames).select(
+        "event_id", "reject", F.when(F.col("reject").isNull(), F.col("m.event")).alias("event")
+    )
+    place = f"{shared_folder(spark)}/routed-{uuid.uuid4().hex[:12]}"
+    run.route(
+        parsed, F.col("reject").isNull(), f"{place}/good", f"{place}/bad", f"{place}/state"
+    ).awaitTermination()
+    kept = ["event_id", "reject", "event"]
+    return (
+        spark.read.parquet(f"{place}/good")
+        .select(*kept)
+        .unionByName(spark.read.parquet(f"{place}/bad").select(*kept))
+    )
+
+
+@query("stream_corrections", ORACLES["exact_rewrite"])
+def stream_corrections(spark, folder):
+    lexicon = word_lexicon(spark, folder)
+    texts = run.read_stream(spark, folder, "documents").select(
+        "doc_id", F.col("text").alias("rewritten")
+    )
+    return run.run_append(st.corrected(texts, "rewritten", lexicon), "corrections")

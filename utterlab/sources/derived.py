@@ -197,24 +197,32 @@ latest AS (
 )"""
 
 
-def turn_spans(spark: SparkSession, folder: str) -> DataFrame:
-    """Stage spans: a user's events of one day are one turn."""
-    ev = table(spark, folder, "events")
+def span_columns() -> dict[str, Column]:
+    """Stage, start and end of the span an event stands for."""
     start = F.unix_micros(F.col("ts").cast("timestamp")) * 1000
+    kind = F.col("event_type")
     stage = (
-        F.when(F.col("event_type") == "view", "endpoint")
-        .when(F.col("event_type") == "click", "stt")
-        .when(F.col("event_type") == "signup", "llm")
-        .when(F.col("event_type") == "error", "tool")
+        F.when(kind == "view", "endpoint")
+        .when(kind == "click", "stt")
+        .when(kind == "signup", "llm")
+        .when(kind == "error", "tool")
         .otherwise("tts")
     )
     length = F.floor(F.col("value") * 60_000_000).cast("bigint") * 1000
-    return ev.select(
+    return {
+        "stage": stage,
+        "start_ns": start,
+        "end_ns": F.when(F.col("event_id") % 97 != 0, start + length),
+    }
+
+
+def turn_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """Stage spans: a user's events of one day are one turn."""
+    span = span_columns()
+    return table(spark, folder, "events").select(
         F.col("user_id").alias("session_id"),
         F.date_format(F.col("ts"), "yyyy-MM-dd").alias("turn_id"),
-        stage.alias("stage"),
-        start.alias("start_ns"),
-        F.when(F.col("event_id") % 97 != 0, start + length).alias("end_ns"),
+        *[column.alias(name) for name, column in span.items()],
         F.col("event_id").alias("seq"),
     )
 
@@ -233,20 +241,26 @@ spans AS (
 )"""
 
 
-def turn_marks(spark: SparkSession, folder: str) -> DataFrame:
-    """Marks of the same turns: speech ends at a view, audio starts at a purchase."""
-    ev = table(spark, folder, "events")
+def mark_columns() -> dict[str, Column]:
+    """Name of the mark an event stands for: speech ends at a view, audio starts at a
+    purchase."""
+    kind = F.col("event_type")
     name = (
-        F.when(F.col("event_type") == "view", "user_speech_end")
-        .when(F.col("event_type") == "purchase", "first_audio_out")
-        .when(F.col("event_type") == "click", "final_transcript")
-        .when(F.col("event_type") == "signup", "first_llm_token")
+        F.when(kind == "view", "user_speech_end")
+        .when(kind == "purchase", "first_audio_out")
+        .when(kind == "click", "final_transcript")
+        .when(kind == "signup", "first_llm_token")
         .otherwise("first_partial")
     )
-    return ev.select(
+    return {"name": name}
+
+
+def turn_marks(spark: SparkSession, folder: str) -> DataFrame:
+    """Marks of the same turns."""
+    return table(spark, folder, "events").select(
         F.col("user_id").alias("session_id"),
         F.date_format(F.col("ts"), "yyyy-MM-dd").alias("turn_id"),
-        name.alias("name"),
+        mark_columns()["name"].alias("name"),
         (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("at_ns"),
         F.col("event_id").alias("seq"),
     )
@@ -463,10 +477,13 @@ def text_deltas(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def call_fragments(spark: SparkSession, folder: str) -> DataFrame:
+    return fragments_of(table(spark, folder, "orders"))
+
+
+def fragments_of(orders: DataFrame) -> DataFrame:
     """Streamed tool-call fragments: two calls per order, arguments in three parts."""
     rows = (
-        table(spark, folder, "orders")
-        .withColumn("index", F.explode(F.array(F.lit(0), F.lit(1))))
+        orders.withColumn("index", F.explode(F.array(F.lit(0), F.lit(1))))
         .withColumn("seq", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     )
     key = F.col("o_orderkey").cast("string")
