@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from utterlab.catalog import query
+from utterlab.catalog.noise import P_SQL
 from utterlab.functions.text import WORD
 from utterlab.operators import mentions as m
+from utterlab.operators import pairing
 from utterlab.plans import entities as plan
+from utterlab.plans.timing import choose_threshold
 from utterlab.sources import derived
 from utterlab.sources.derived import UTT_SQL
 from utterlab.sources.lexicon import Lexicon
@@ -287,8 +290,8 @@ row_words AS (
 pair AS (
   SELECT example_id, stt, condition, canonical AS entity,
          list_contains(rw, variant) AS recognised,
-         regexp_matches(lower(raw_text), '(^|[^\p{{L}}\p{{M}}\p{{N}}_])' || variant
-                        || '($|[^\p{{L}}\p{{M}}\p{{N}}_])') AS canonical_raw
+         contains(' ' || regexp_replace(lower(raw_text), '[^\p{{L}}\p{{M}}\p{{N}}_]+', ' ', 'g')
+                  || ' ', ' ' || variant || ' ') AS canonical_raw
   FROM row_words JOIN wlex ON list_contains(gw, variant)
 )"""
 
@@ -321,3 +324,102 @@ def entity_error_report(spark, folder):
             for c in ("recognition_error_before", "canonical_miss_before", "corruption_rate")
         ],
     )
+
+
+@query(
+    "entity_outcomes",
+    f"""WITH {EER_SQL} SELECT stt, condition, entity, count(*) AS mentions,
+      count(*) FILTER (WHERE recognised) AS recognised_raw,
+      count(*) FILTER (WHERE canonical_raw) AS canonical_raw,
+      count(*) FILTER (WHERE canonical_raw) AS canonical_exact
+    FROM pair GROUP BY ALL""",
+)
+def entity_outcomes(spark, folder):
+    scored = scored_log(spark, folder, word_lexicon(spark, folder))
+    return plan.per_entity(scored, ["stt", "condition"])
+
+
+@query(
+    "entity_false_rewrites",
+    rf"""WITH {EER_SQL}, hits AS (
+      SELECT example_id, stt, condition,
+             unnest(regexp_extract_all(raw_text, '[\p{{L}}\p{{M}}\p{{N}}_]+')) AS original
+      FROM row_words r WHERE NOT EXISTS (SELECT 1 FROM wlex WHERE list_contains(gw, variant)))
+    SELECT example_id, stt, condition, original, canonical, count(*) AS n
+    FROM hits JOIN wlex ON lower(original) = variant GROUP BY ALL""",
+)
+def entity_false_rewrites(spark, folder):
+    scored = scored_log(spark, folder, word_lexicon(spark, folder))
+    rows = plan.false_rewrites(scored, ROW).select(*ROW, F.inline("rewrites"))
+    return rows.groupBy(*ROW, "original", "canonical").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "channel_entities",
+    f"""WITH {EER_SQL}, p AS (
+      SELECT c.recognised AS a, d.recognised AS b FROM pair c JOIN pair d
+        ON c.example_id = d.example_id AND c.entity = d.entity
+      WHERE c.stt = 'alpha' AND d.stt = 'alpha' AND c.condition = 'clean'
+        AND d.condition = 'degraded'),
+    s AS (SELECT count(*) AS n, count(*) FILTER (WHERE a) AS clean_k,
+      count(*) FILTER (WHERE b) AS degraded_k, count(*) FILTER (WHERE a AND NOT b) AS worse,
+      count(*) FILTER (WHERE b AND NOT a) AS better FROM p),
+    t AS (SELECT *, worse AS a, better AS b, 100 * (clean_k - degraded_k) / n AS drop_pp FROM s),
+    r AS (SELECT *, {P_SQL} AS mcnemar_p FROM t)
+    SELECT n, clean_k, degraded_k, worse, better, round(clean_k / n, 9) AS clean_rate,
+      round(degraded_k / n, 9) AS degraded_rate, round(drop_pp, 6) AS drop_pp, mcnemar_p,
+      drop_pp >= 5 AND mcnemar_p < 0.05 AS degrades FROM r""",
+)
+def channel_entities(spark, folder):
+    lexicon = word_lexicon(spark, folder)
+    wide = m.add_mentions(
+        derived.paired_transcripts(spark, folder),
+        ["example_id"],
+        {"g": "ground_truth_text", "c": "alpha_clean", "d": "alpha_degraded"},
+        lexicon,
+    )
+    pairs = wide.select("c", "d", F.explode(m.entities(F.col("g"))).alias("entity"))
+    a = F.exists("c", lambda x: x["canonical"] == F.col("entity"))
+    b = F.exists("d", lambda x: x["canonical"] == F.col("entity"))
+    counts = pairs.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(a).alias("clean_k"),
+        F.count_if(b).alias("degraded_k"),
+        F.count_if(a & ~b).alias("worse"),
+        F.count_if(b & ~a).alias("better"),
+    )
+    out = pairing.degradation(counts)
+    return out.withColumns(
+        {c: F.round(c, 9) for c in ("clean_rate", "degraded_rate")}
+        | {c: F.round(c, 6) for c in ("drop_pp", "mcnemar_p")}
+    )
+
+
+THREE = {"raw": "raw_text", "exact": "exact_text", "fuzzy": "fuzzy_text"}
+
+
+def fuzzy_log(spark, folder):
+    lexicon = word_lexicon(spark, folder)
+    return plan.with_fuzzy(scored_log(spark, folder, lexicon), ROW, lexicon, 0.82)
+
+
+@query("entity_three_columns")
+def entity_three_columns(spark, folder):
+    return plan.column_report(fuzzy_log(spark, folder), ["stt", "condition"], THREE)
+
+
+@query("entity_layer_tests")
+def entity_layer_tests(spark, folder):
+    return plan.layer_tests(fuzzy_log(spark, folder), ["stt", "condition"], THREE)
+
+
+@query("entity_threshold_sweep")
+def entity_threshold_sweep(spark, folder):
+    lexicon = word_lexicon(spark, folder)
+    scored = scored_log(spark, folder, lexicon)
+    return plan.sweep_costs(scored, ROW, lexicon, [0.7, 0.78, 0.82, 0.86, 0.9, 0.95])
+
+
+@query("entity_threshold_choice")
+def entity_threshold_choice(spark, folder):
+    return choose_threshold(entity_threshold_sweep(spark, folder))
