@@ -157,3 +157,16 @@ def test_error_report(spark, lexicon):
     assert round(r.canonical_miss_before, 6) == round(2 / 3, 6)
     assert (r.canonical_fixed, r.canonical_broken) == (1, 0)
     assert r.corruption_rate == 0.5
+
+
+def test_both_substring_forms_count_like_a_loop(spark, lexicon):
+    values = [*texts(), "upiupi upi", "GSTgst youngsters", "pfpf"]
+    df = spark.createDataFrame(list(enumerate(values)), "id int, text string")
+    for form in (lexicon, dataclasses.replace(lexicon, spellings=None)):
+        got = df.withColumn("h", m.substring_hits(F.col("text"), form)).collect()
+        for r in got:
+            want = [
+                (s.canonical, s.variant.lower(), r.text.lower().count(s.variant.lower()))
+                for s in lexicon.spellings
+            ]
+            assert [tuple(h) for h in r.h] == [w for w in want if w[2]], r.text

@@ -106,7 +106,7 @@ def test_report_difference_and_one_sided(spark):
 
 def test_utterance_stream_over_many_batches_equals_batch(spark, tmp_path):
     probs = [0.9, 0, 0, 0.9, 0, 0, 0, 0, 0.8, 0.1, 0.7, 0, 0, 0]
-    rows = [(1, i, float(p), 1000 * i) for i, p in enumerate(probs)]
+    rows = [(1, i, float(p), 1_700_000_000_000 + 1000 * i) for i, p in enumerate(probs)]
     seen = set()
     for k in range(0, len(rows), 3):
         spark.createDataFrame(rows[k : k + 3], "stream_id long, seq long, prob double, t long").select(

@@ -8,9 +8,12 @@ broadcast hash join of word n-grams, followed by a claim per text.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from utterlab.functions.text import WORD, fold, let
 from utterlab.sources.lexicon import Lexicon
@@ -237,60 +240,96 @@ def contains_spelling(text: Column, spelling: Column) -> Column:
     return F.regexp(fold(text), quoted)
 
 
-def _spelling_array(lexicon: Lexicon) -> Column:
-    return F.array(
+HIT = "array<struct<canonical:string,v:string,n:bigint>>"
+
+
+def substring_hits(text: Column, lexicon: Lexicon) -> Column:
+    """array<struct<canonical, v, n>> in declared order: every spelling found anywhere,
+    even inside a word, with its non-overlapping count (audit only).
+
+    A small lexicon is a literal array searched in the JVM. A larger one is an
+    automaton broadcast to the tasks, which reads each text once whatever its size;
+    give that form its own column before using it in a lambda.
+    """
+    if lexicon.spellings is None:
+        return _automaton_hits(lexicon)(F.lower(text))
+    literals = F.array(
         *[
             F.struct(F.lit(s.canonical).alias("canonical"), F.lit(s.variant.lower()).alias("v"))
-            for s in lexicon.require_spellings()
+            for s in lexicon.spellings
         ]
     )
-
-
-def substring_entities(text: Column, lexicon: Lexicon) -> Column:
-    """Entities whose spelling occurs anywhere, even inside a word (audit only)."""
-    found = let(
-        F.lower(text),
-        lambda low: F.filter(_spelling_array(lexicon), lambda s: F.contains(low, s["v"])),
-    )
-    return F.array_sort(F.array_distinct(F.transform(found, lambda s: s["canonical"])))
-
-
-def raw_occurrences(text: Column, lexicon: Lexicon) -> Column:
-    """array<struct<canonical, n>>: non-overlapping raw hits of each spelling."""
-    counted = let(
+    return let(
         F.lower(text),
         lambda low: F.transform(
-            _spelling_array(lexicon),
+            F.filter(literals, lambda s: F.contains(low, s["v"])),
             lambda s: F.struct(
                 s["canonical"].alias("canonical"),
-                (
-                    (F.length(low) - F.length(F.replace(low, s["v"]))) / F.length(s["v"])
-                ).cast("bigint").alias("n"),
+                s["v"].alias("v"),
+                ((F.length(low) - F.length(F.replace(low, s["v"]))) / F.length(s["v"]))
+                .cast("bigint")
+                .alias("n"),
             ),
         ),
     )
-    return F.filter(counted, lambda s: s["n"] > 0)
 
 
-def substring_context(text: Column, entity: Column, lexicon: Lexicon, width: int = 30) -> Column:
-    """struct<variant, context> of the first spelling of ``entity`` found as a substring."""
-
-    def cut(low: Column) -> Column:
-        hit = F.get(
-            F.filter(
-                _spelling_array(lexicon),
-                lambda s: (s["canonical"] == entity) & F.contains(low, s["v"]),
-            ),
-            F.lit(0),
-        )["v"]
-        at = F.position(hit, low)
+def _automaton_hits(lexicon: Lexicon) -> Callable[[Column], Column]:
+    spellings = [(s.canonical, s.variant.lower()) for s in lexicon.all_spellings()]
+    shared = lexicon.frame.sparkSession.sparkContext.broadcast(spellings)
+
+    @arrow_udf(HIT)
+    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import ahocorasick
+
+        rows = shared.value
+        by_text: dict[str, list[int]] = {}
+        for i, (_, v) in enumerate(rows):
+            by_text.setdefault(v, []).append(i)
+        automaton = ahocorasick.Automaton()
+        for v in by_text:
+            automaton.add_word(v, v)
+        automaton.make_automaton()
+        kind = pa.list_(
+            pa.struct([("canonical", pa.string()), ("v", pa.string()), ("n", pa.int64())])
+        )
+        for batch in batches:
+            out = []
+            for text in batch.to_pylist():
+                count: dict[str, int] = {}
+                free: dict[str, int] = {}
+                for last, v in automaton.iter(text or ""):
+                    begin = last - len(v) + 1
+                    if begin >= free.get(v, 0):  # leftmost, not overlapping itself
+                        count[v] = count.get(v, 0) + 1
+                        free[v] = last + 1
+                found = sorted((i, n) for v, n in count.items() for i in by_text[v])
+                out.append(
+                    [{"canonical": rows[i][0], "v": rows[i][1], "n": n} for i, n in found]
+                )
+            yield pa.array(out, kind)
+
+    return find
+
+
+def substring_entities(hits: Column) -> Column:
+    """Distinct entities of ``substring_hits``, sorted."""
+    return F.array_sort(F.array_distinct(F.transform(hits, lambda s: s["canonical"])))
+
+
+def substring_context(text: Column, entity: Column, hits: Column, width: int = 30) -> Column:
+    """struct<variant, context> of the first spelling of ``entity`` among the hits."""
+    first = F.get(F.filter(hits, lambda s: s["canonical"] == entity), F.lit(0))["v"]
+
+    def cut(hit: Column) -> Column:
+        at = F.position(hit, F.lower(text))
         begin = F.greatest(at - 1 - width, F.lit(0))
         return F.struct(
             hit.alias("variant"),
             F.substring(text, begin + 1, at - 1 + F.length(hit) + width - begin).alias("context"),
         )
 
-    return let(F.lower(text), cut)
+    return let(first, cut)
 
 
 def canonicalise(text: Column, mentions: Column) -> Column:

@@ -130,6 +130,11 @@ class Lexicon:
         small = rows is not None and not overlapping(rows)
         return Lexicon(frame, rows, stats["widest"] or 1, stats["words"] or 1, small)
 
+    def all_spellings(self) -> list[Spelling]:
+        """Every row in declared order; ``of`` has checked that they are few enough."""
+        rows = self.frame.orderBy("ord").collect()
+        return [Spelling(r["canonical"], r["script"], r["variant"]) for r in rows]
+
     def require_spellings(self) -> tuple[Spelling, ...]:
         if self.spellings is None:
             raise ValueError("this report needs a lexicon of at most 400 spellings")
