@@ -32,9 +32,10 @@ def wilson(successes: Column, n: Column, z: float = 1.96) -> Column:
     denominator = 1 + z**2 / size
     center = (p + z**2 / (2 * size)) / denominator
     margin = z * F.sqrt(p * (1 - p) / size + z**2 / (4 * size * size)) / denominator
+    empty = n == 0
     return F.struct(
-        F.coalesce(F.greatest(F.lit(0.0), center - margin), F.lit(0.0)).alias("lo"),
-        F.coalesce(F.least(F.lit(1.0), center + margin), F.lit(0.0)).alias("hi"),
+        F.when(empty, 0.0).otherwise(F.greatest(F.lit(0.0), center - margin)).alias("lo"),
+        F.when(empty, 0.0).otherwise(F.least(F.lit(1.0), center + margin)).alias("hi"),
     )
 
 

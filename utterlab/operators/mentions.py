@@ -8,7 +8,7 @@ broadcast hash join of word n-grams, followed by a claim per text.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,6 +27,26 @@ def _quoted(text: str) -> str:
     return re.sub(r"([\\.\[\]{}()*+?^$|&~#-])", r"\\\1", text)
 
 
+def _prefix_pattern(needles: Iterable[str]) -> str:
+    """The needles as one pattern that shares prefixes and tries longer ones first,
+    so a position costs one walk down the tree however many needles there are."""
+    tree: dict = {}
+    for needle in needles:
+        node = tree
+        for char in needle:
+            node = node.setdefault(char, {})
+        node[""] = {}
+
+    def write(node: dict) -> str:
+        branches = [_quoted(c) + write(child) for c, child in sorted(node.items()) if c]
+        if not branches:
+            return ""
+        body = f"(?:{'|'.join(branches)})" if len(branches) > 1 or "" in node else branches[0]
+        return body + ("?" if "" in node else "")
+
+    return write(tree)
+
+
 def _no_mentions() -> Column:
     return F.array().cast(MENTION)
 
@@ -34,12 +54,11 @@ def _no_mentions() -> Column:
 def mentions_in_row(text: Column, lexicon: Lexicon) -> Column:
     """Mention array of a text, for a small lexicon."""
     first: dict[str, tuple[str, str]] = {}
-    for s in lexicon.require_spellings():
+    for s in lexicon.spellings or ():
         first.setdefault(s.needle, (s.canonical, s.variant))
     if not first:
         return _no_mentions()
-    by_length = sorted(first, key=len, reverse=True)
-    pattern = f"{_BEFORE}(?:{'|'.join(map(_quoted, by_length))}){_AFTER}"
+    pattern = f"{_BEFORE}{_prefix_pattern(first)}{_AFTER}"
     known = F.create_map(
         *[
             item
@@ -251,7 +270,7 @@ def substring_hits(text: Column, lexicon: Lexicon) -> Column:
     automaton broadcast to the tasks, which reads each text once whatever its size;
     give that form its own column before using it in a lambda.
     """
-    if lexicon.spellings is None:
+    if lexicon.spellings is None or len(lexicon.spellings) > 200:
         return _automaton_hits(lexicon)(F.lower(text))
     literals = F.array(
         *[

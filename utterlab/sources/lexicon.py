@@ -109,7 +109,7 @@ class Lexicon:
     small: bool = field(default=False)
 
     @staticmethod
-    def of(frame: DataFrame, in_row_limit: int = 400) -> Lexicon:
+    def of(frame: DataFrame, in_row_limit: int = 2000) -> Lexicon:
         runs = F.regexp_extract_all("variant", F.lit(f"[{WORD}]+"), F.lit(0))
         stats = frame.agg(
             F.count(F.lit(1)).alias("n"),
@@ -135,11 +135,6 @@ class Lexicon:
         rows = self.frame.orderBy("ord").collect()
         return [Spelling(r["canonical"], r["script"], r["variant"]) for r in rows]
 
-    def require_spellings(self) -> tuple[Spelling, ...]:
-        if self.spellings is None:
-            raise ValueError("this report needs a lexicon of at most 400 spellings")
-        return self.spellings
-
 
 def is_word_char(char: str) -> bool:
     return char in "_\u200c\u200d" or unicodedata.category(char)[0] in "LMN"
@@ -151,12 +146,13 @@ def overlapping(rows: tuple[Spelling, ...]) -> bool:
     Only then can scanning left to right differ from claiming longest first.
     """
     needles = {r.needle for r in rows}
-    for a in needles:
-        for cut in range(1, len(a)):
-            if is_word_char(a[cut - 1]):
-                continue
-            tail = a[cut:]
-            for b in needles:
-                if len(b) > len(a) and len(b) > len(tail) and b.startswith(tail):
-                    return True
-    return False
+    longest: dict[str, int] = {}  # every proper prefix -> its longest needle
+    for b in needles:
+        for cut in range(1, len(b)):
+            longest[b[:cut]] = max(longest.get(b[:cut], 0), len(b))
+    return any(
+        longest.get(a[cut:], 0) > len(a)
+        for a in needles
+        for cut in range(1, len(a))
+        if not is_word_char(a[cut - 1])
+    )
