@@ -347,7 +347,8 @@ def entity_outcomes(spark, folder):
              unnest(regexp_extract_all(ground_truth_text, '[\p{{L}}\p{{M}}\p{{N}}_]+')) AS original
       FROM row_words r WHERE NOT EXISTS (SELECT 1 FROM wlex WHERE list_contains(rw, variant)))
     SELECT example_id, stt, condition, original, canonical, count(*) AS n
-    FROM hits JOIN wlex ON lower(original) = variant GROUP BY ALL
+    FROM hits JOIN wlex ON lower(original) = variant
+    GROUP BY example_id, stt, condition, original, canonical
     QUALIFY bool_or(original <> canonical) OVER (PARTITION BY example_id, stt, condition)""",
 )
 def entity_false_rewrites(spark, folder):
