@@ -93,7 +93,7 @@ def row_split(
     placed = ranked(ordered, [arm], hash_bucket(F.col("__h")), ["__h", *ids], "__rank")
     sizes = df.groupBy(arm).agg(F.count(F.lit(1)).alias("__n"))
     return (
-        placed.join(F.broadcast(sizes), arm)
+        placed.join(sizes, arm)
         .withColumn(
             "split",
             F.when(F.col("__rank") <= F.bround(F.col("__n") * fraction, 0), "dev").otherwise("test"),

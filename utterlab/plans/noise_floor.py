@@ -139,7 +139,7 @@ def verdicts(complete: DataFrame, k: int = 3, resamples: int = 10_000, seed: int
     ci = ratio_ci(losses, ["language", "condition"], "loss", resamples=resamples, seed=seed)
     rules = (
         block.join(ci, ["language", "condition"])
-        .join(F.broadcast(noise_floor(complete, k)), "language", "left")
+        .join(noise_floor(complete, k), "language", "left")
         .withColumn("loss_lo_pp", 100 * F.col("lo"))
         .withColumn("loss_hi_pp", 100 * F.col("hi"))
         .drop("lo", "hi")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from utterlab.operators.intervals import STAGES, TURN, stage_totals
 from utterlab.operators.percentiles import percentiles
+from utterlab.sources.tables import small_side
 
 STAGE_MS = ("endpoint_ms", "stt_ms", "llm_ms", "tts_ms")
 
@@ -121,7 +122,7 @@ def violations(totals: DataFrame, times: DataFrame, budgets: DataFrame) -> DataF
         )
     )
     return (
-        actual.join(F.broadcast(budgets), "stage")
+        actual.join(small_side(budgets), "stage")
         .where(F.col("actual_ms") > F.col("budget_ms"))
         .withColumn("over_by_ms", F.col("actual_ms") - F.col("budget_ms"))
     )
