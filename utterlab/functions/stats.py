@@ -2,27 +2,71 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-
-from utterlab.functions.text import let
-
-EXACT_LIMIT = 1_000_000_000
-"""Above this many discordant pairs the tail is the normal one; its relative
-error there is below 1e-7."""
-EXACT_TERMS = 250_000
-"""Terms summed at most: at the limit above these reach 15 standard deviations."""
-
-
-def _normal_lower_tail(z: Column) -> Column:
-    """P(Z <= z) for z <= 0 (rational approximation, absolute error under 1e-7)."""
-    x = -z
-    t = 1 / (1 + 0.2316419 * x)
-    poly = t * (
-        0.319381530
-        + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429)))
+from pyspark.sql.types import DoubleType
+
+
+def _stirling_error(n: float) -> float:
+    """ln(n!) less its Stirling approximation."""
+    if n < 16:
+        return math.lgamma(n + 1) - (n + 0.5) * math.log(n) + n - 0.5 * math.log(2 * math.pi)
+    square = n * n
+    return (1 / 12 - (1 / 360 - (1 / 1260 - 1 / (1680 * square)) / square) / square) / n
+
+
+def _deviance(x: float, mean: float) -> float:
+    """x ln(x / mean) + mean - x, without cancellation near the mean."""
+    d = (x - mean) / mean
+    if abs(d) > 0.1:
+        return x * math.log(x / mean) + mean - x
+    # (1 + d) ln(1 + d) - d as a series in d
+    total, term, k = 0.0, d * d, 2
+    while abs(term) > 1e-18 * d * d:
+        total += term / (k * (k - 1))
+        term, k = -term * d, k + 1
+    return mean * total
+
+
+def _fraction(a: float, b: float, x: float) -> float:
+    """Continued fraction of the incomplete beta function, by Lentz's rule."""
+    tiny = 1e-300
+    c, d = 1.0, 1 / ((1 - (a + b) * x / (a + 1)) or tiny)
+    out, m = d, 0
+    while True:
+        m += 1
+        for top in (
+            m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
+            -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
+        ):
+            d = 1 / ((1 + top * d) or tiny)
+            c = (1 + top / c) or tiny
+            step = c * d
+            out *= step
+        if abs(step - 1) < 1e-15:
+            return out
+
+
+def binomial_cdf(k: int, n: int, p: float) -> float:
+    """P(X <= k) for X binomial (n, p), by one formula for every size."""
+    if k < 0:
+        return 0.0
+    if k >= n:
+        return 1.0
+    a, b, x = float(n - k), float(k + 1), 1.0 - p
+    size = a + b
+    log_front = (
+        _stirling_error(size) - _stirling_error(a) - _stirling_error(b)
+        - _deviance(a, size * x) - _deviance(b, size * p)
+        + 0.5 * math.log(a * b / size / (2 * math.pi))
     )
-    return F.exp(-x * x / 2) / 2.5066282746310002 * poly
+    front = math.exp(log_front)
+    if x < (a + 1) / (size + 2):
+        return front * _fraction(a, b, x) / a
+    return 1.0 - front * _fraction(b, a, p) / b
 
 
 def wilson(successes: Column, n: Column, z: float = 1.96) -> Column:
@@ -51,60 +95,20 @@ def rate(successes: Column, n: Column) -> Column:
     )
 
 
-_STIRLING = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188)
-
-
-def log_factorial(n: Column) -> Column:
-    """ln(n!) from Stirling's series, shifted up by eight so it is exact to a few
-    units in the last place even for n = 0."""
-    x = (n + 9).cast("double")  # ln Γ(n + 1) = ln Γ(x) - ln((n + 1) ... (n + 8))
-    series = sum((F.lit(c) / F.pow(x, F.lit(2 * k + 1)) for k, c in enumerate(_STIRLING)), F.lit(0.0))
-    gamma = (x - 0.5) * F.ln(x) - x + 0.9189385332046727 + series
-    shift = F.ln(n + 1)
-    for k in range(2, 9):
-        shift = shift + F.ln(n + k)
-    return gamma - shift
+@F.pandas_udf(DoubleType())
+def _mcnemar(fixed: pd.Series, broken: pd.Series) -> pd.Series:
+    pairs = zip(fixed, broken, strict=True)
+    return pd.Series([min(1.0, 2 * binomial_cdf(int(min(p)), int(sum(p)), 0.5)) for p in pairs])
 
 
 def mcnemar_p(fixed: Column, broken: Column) -> Column:
     """Two-sided exact p of the discordant pairs; 1 when there are none.
 
-    The tail is summed from its largest term downwards by the ratio of
-    neighbouring binomials, so nothing overflows for any count.
+    Meant for aggregated rows: one evaluation per row, by one formula for any count.
     """
-
-    def tail(pair: Column) -> Column:
-        n, k = pair["n"], pair["k"]
-        top = F.exp(
-            log_factorial(n)
-            - log_factorial(k)
-            - log_factorial(n - k)
-            - n * 0.6931471805599453
-        )
-
-        def add(state: Column, i: Column) -> Column:
-            term = state["term"] * i / (n - i + 1)
-            return F.struct(term.alias("term"), (state["sum"] + term).alias("sum"))
-
-        terms = F.least(k, F.lit(EXACT_TERMS))
-        descending = F.when(
-            terms > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), terms - 1), lambda j: k - j)
-        ).otherwise(F.array().cast("array<bigint>"))
-        start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
-        total = F.aggregate(descending, start, add, lambda s: s["sum"])
-        return F.least(F.lit(1.0), 2 * top * total)
-
-    pair = F.struct(
-        (fixed + broken).cast("bigint").alias("n"),
-        F.least(fixed, broken).cast("bigint").alias("k"),
-    )
-    n, k = fixed + broken, F.least(fixed, broken)
-    far = F.least(F.lit(0.0), (k + 0.5 - n / 2) / (F.sqrt(n.cast("double")) / 2))
-    return (
-        F.when(n == 0, F.lit(1.0))
-        .when(n > EXACT_LIMIT, F.least(F.lit(1.0), 2 * _normal_lower_tail(far)))
-        .otherwise(let(pair, tail))
-    )
+    known = fixed.isNotNull() & broken.isNotNull()
+    p = _mcnemar(F.coalesce(fixed, F.lit(0)), F.coalesce(broken, F.lit(0)))
+    return F.when(known, p)
 
 
 def cohens_kappa(both_yes: Column, yes_no: Column, no_yes: Column, both_no: Column) -> Column:
