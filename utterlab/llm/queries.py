@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from utterlab.llm import (  # noqa: F401
     chat_format,
+    line_dedup,
+    quality,
     warc,
 )
 from utterlab.llm.registry import ORACLES, QUERIES  # noqa: F401
