@@ -6,6 +6,7 @@ from utterlab.llm import (  # noqa: F401
     chat_format,
     line_dedup,
     quality,
+    toxicity,
     warc,
 )
 from utterlab.llm.registry import ORACLES, QUERIES  # noqa: F401
