@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from utterlab.llm import (  # noqa: F401
     chat_format,
+    decontamination,
     line_dedup,
     packing,
     quality,
