@@ -5,6 +5,7 @@ from __future__ import annotations
 from utterlab.llm import (  # noqa: F401
     chat_format,
     decontamination,
+    jaccard_join,
     line_dedup,
     packing,
     quality,
