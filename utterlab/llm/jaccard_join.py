@@ -31,13 +31,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from utterlab.llm.components import components
+from utterlab.llm.membership import member_filter, slot, unpacked
 from utterlab.llm.registry import query
 from utterlab.llm.shared import written
 from utterlab.llm.words import U64, pieces, shingle_sets, words
 
 SHINGLE = 5
 _COUNTER_BITS = 18
-_FILTER_BITS = 23
 _HOT = 200_000
 _BLOCK = 20_000
 _FAN = 8
@@ -203,41 +203,21 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # --- verification ------------------------------------------------------------------------
 
 
-def _members_filter(names: DataFrame) -> np.ndarray:
-    """Bitmap of fixed size over class names."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << _FILTER_BITS, bool)
-        for batch in batches:
-            bits[_slot(batch.column(0).to_numpy())] = True
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"]
-        )
-
-    out = np.zeros(1 << (_FILTER_BITS - 3), np.uint8)
-    for r in names.coalesce(4).mapInArrow(run, "bits binary").toLocalIterator():
-        out |= np.frombuffer(r.bits, np.uint8)
-    return np.unpackbits(out).astype(bool)
-
-
-def _slot(names: np.ndarray) -> np.ndarray:
-    return names.view(np.uint64) >> U64(64 - _FILTER_BITS)
-
-
 def _verify(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """The (a, b) pairs of classes that link, by their whole sets."""
     pairs = written(pairs, "candidates")
     names = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    wanted = _members_filter(names)
+    bits = member_filter(names)
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        wanted = unpacked(bits)
         for _, sets in _sets(batches):
             names, raws = [], []
             for s in sets:
                 if len(s):
                     name = _class_of(s)
-                    if wanted[_slot(np.array([name]))[0]] and name not in seen:
+                    if wanted[slot(np.array([name]))[0]] and name not in seen:
                         if len(seen) > 1_000_000:
                             seen.clear()
                         seen.add(name)

@@ -9,6 +9,7 @@ from utterlab.llm import (  # noqa: F401
     line_dedup,
     packing,
     quality,
+    substring_dedup,
     toxicity,
     warc,
 )
