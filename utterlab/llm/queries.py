@@ -8,6 +8,7 @@ from utterlab.llm import (  # noqa: F401
     jaccard_join,
     line_dedup,
     packing,
+    pii,
     quality,
     substring_dedup,
     toxicity,
