@@ -280,7 +280,7 @@ def thresholds(
         own = lowest([r for r in counts if kind_of(r[0]) == k])
         chosen = own if own is not None else pooled
         if chosen is not None:
-            out[k] = max(chosen, 0.0)
+            out[k] = max(chosen, 0.0) - 1e-6  # sums may differ in their last digits
     return out
 
 
@@ -291,7 +291,6 @@ def spans_of(docs: DataFrame, id_col: str = "doc_id", text: str = "text", keep:
     """(id, base, candidates) of every text, in one scan."""
     value = F.coalesce(F.col(text), F.lit(""))
     some = value.rlike(r"[0-9@]|(?i)[(\[]at[)\]]")
-    empty = lambda c: F.filter(c, lambda _: F.lit(False))  # noqa: E731,F841
     return docs.select(
         F.col(id_col),
         *keep,
