@@ -147,18 +147,19 @@ def dedup_lines(
     divisor: int = DIVISOR,
 ) -> DataFrame:
     """``docs`` with repeated chunks cut out of ``text``, plus ``removed_chunks`` (array of
-    first lines) and ``removed_lines``."""
+    first lines, null if none) and ``removed_lines``; columns of these names are replaced."""
     gone = (
         repeated_chunks(docs, id_col, text, window, divisor)
-        .groupBy("id", "version")
+        .groupBy(F.col("id").alias("__gone_id"), F.col("version").alias("__gone_version"))
         .agg(F.array_sort(F.collect_list("place")).alias("__places"))
     )
-    keyed = docs.withColumn("__version", F.xxhash64(text))
+    keyed = docs.drop("removed_chunks", "removed_lines").withColumn("__version", F.xxhash64(text))
     both = keyed.join(
         gone,
-        F.col(id_col).eqNullSafe(F.col("id")) & (F.col("__version") == F.col("version")),
+        F.col(id_col).eqNullSafe(F.col("__gone_id"))
+        & (F.col("__version") == F.col("__gone_version")),
         "left",
-    ).drop("id", "version", "__version")
+    ).drop("__gone_id", "__gone_version", "__version")
     return _cut(both, text, window, divisor)
 
 

@@ -190,7 +190,8 @@ def _regress(columns: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, ridge:
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
-    """``docs`` with a score in [0, 1] in ``out``."""
+    """``docs`` with a score in [0, 1] in ``out``, which replaces a column of that name."""
+    docs = docs.drop(out)
     index, weight, bias = model.index, model.weight, model.bias
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
