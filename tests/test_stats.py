@@ -47,14 +47,13 @@ def test_wilson_and_kappa(spark):
     assert math.isclose(row.k, 0.4)
 
 
-@pytest.mark.parametrize("limit", [20_000, 3])
-def test_bootstrap_covers_the_classic_interval(spark, monkeypatch, limit):
-    monkeypatch.setattr(bootstrap, "COLLAPSED_LIMIT", limit)
+def test_bootstrap_covers_the_classic_interval(spark):
     rng = random.Random(2)
     rows = [("a", rng.randint(0, 4), rng.randint(4, 12)) for _ in range(400)]
     df = spark.createDataFrame(rows, "g string, e long, w long")
-    out = bootstrap.ratio_ci(df, ["g"], "e", "w", resamples=4000).collect()
+    out = bootstrap.ratio_ci(df.repartition(8), ["g"], "e", "w", resamples=4000).collect()
     assert len(out) == 1
+    assert out == bootstrap.ratio_ci(df.coalesce(1), ["g"], "e", "w", resamples=4000).collect()
     e, w = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
     gen = np.random.default_rng(0)
     pick = gen.integers(0, 400, (4000, 400))
@@ -62,6 +61,13 @@ def test_bootstrap_covers_the_classic_interval(spark, monkeypatch, limit):
     assert abs(out[0].lo - lo) < 0.006 and abs(out[0].hi - hi) < 0.006
 
 
+def test_bootstrap_tells_long_keys_apart_and_keeps_empty_groups(spark):
+    rows = [(f"model-large-v{k}", float(i), 1.0) for k in (2, 3) for i in range(30)]
+    df = spark.createDataFrame([*rows, ("none", 0.0, 0.0)], "g string, e double, w double")
+    got = {r.g: (r.lo, r.hi) for r in bootstrap.ratio_ci(df, ["g"], "e", "w", resamples=500).collect()}
+    assert got["model-large-v2"] != got["model-large-v3"] and got["none"] == (0.0, 0.0)
+
+
 def outcome_log(spark, lost, flips):
     rows = []
     for cond in ("gt", "whisper", "sarvam"):

@@ -269,25 +269,38 @@ def votes(spark, folder):
     )
 
 
-@query(
-    "rater_agreement",
-    f"""WITH {RATERS_SQL}, r AS (
-      SELECT *, (both_yes + both_no) / n AS o,
-        ((both_yes + yes_no) / n) * ((both_yes + no_yes) / n)
-        + ((no_yes + both_no) / n) * ((yes_no + both_no) / n) AS e FROM cells)
-    SELECT n, both_yes, yes_no, no_yes, both_no, round((o - e) / (1 - e), 9) AS kappa,
-      round(o, 9) AS raw_agreement, both_yes + yes_no AS judge_yes, both_yes + no_yes AS owner_yes,
-      (o - e) / (1 - e) >= 0.6 AS meets_threshold FROM r""",
-)
+AGREEMENT_SQL = f"""WITH {RATERS_SQL}, r AS (
+  SELECT *, (both_yes + both_no) / n AS o,
+    ((both_yes + yes_no) / n) * ((both_yes + no_yes) / n)
+    + ((no_yes + both_no) / n) * ((yes_no + both_no) / n) AS e FROM cells)
+SELECT n, both_yes, yes_no, no_yes, both_no, round((o - e) / (1 - e), 9) AS kappa,
+  round(o, 9) AS raw_agreement, both_yes + yes_no AS judge_yes, both_yes + no_yes AS owner_yes,
+  (o - e) / (1 - e) >= 0.6 AS meets_threshold FROM r"""
+
+
+@query("rater_agreement", AGREEMENT_SQL)
 def rater_agreement(spark, folder):
     return judges.agreement(votes(spark, folder)).withColumns(
         {c: F.round(c, 9) for c in ("kappa", "raw_agreement")}
     )
 
 
-@query("rater_agreement_intervals")
+@query(
+    "rater_agreement_intervals",
+    f"SELECT *, true AS kappa_holds, true AS raw_holds FROM ({AGREEMENT_SQL})",
+)
 def rater_agreement_intervals(spark, folder):
-    return judges.agreement(votes(spark, folder), resamples=10_000)
+    """The ends of the intervals are random, so only their order is checked."""
+    out = judges.agreement(votes(spark, folder), resamples=10_000)
+    holds = {
+        "kappa_holds": F.col("kappa").between(F.col("kappa_lo"), F.col("kappa_hi")),
+        "raw_holds": F.col("raw_agreement").between(F.col("raw_lo"), F.col("raw_hi")),
+    }
+    return (
+        out.withColumns(holds)
+        .withColumns({c: F.round(c, 9) for c in ("kappa", "raw_agreement")})
+        .drop("kappa_lo", "kappa_hi", "raw_lo", "raw_hi")
+    )
 
 
 @query(

@@ -1,8 +1,9 @@
 """Percentile bootstrap on grouped data.
 
-A resample of n rows is a multinomial draw over the distinct row values, so the
-log is first collapsed to (value, count). The draws run on that collapsed table:
-their cost depends on how many distinct values exist, not on how many rows.
+Rows are first collapsed to (value, count). Every collapsed row then draws its weight in
+each resample from a Poisson law of that mean, seeded by a hash of the whole key and value,
+and weighted sums are added up across tasks. The cost follows the distinct values, one
+method serves every size, and the result does not depend on the partitioning.
 """
 
 from __future__ import annotations
@@ -14,20 +15,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-COLLAPSED_LIMIT = 20_000
-
-
-def _ends(values: np.ndarray, upper_shift: int) -> tuple[float, float]:
-    ordered = np.sort(values)
-    r = len(ordered)
-    return float(ordered[int(0.025 * r)]), float(
-        ordered[min(r - 1, int(0.975 * r) - upper_shift)]
-    )
-
-
-def _key_seed(seed: int, key: tuple) -> list[int]:
-    return [seed, *(int.from_bytes(str(k).encode()[:64], "little") % (1 << 63) for k in key)]
-
 
 def ratio_ci(
     df: DataFrame,
@@ -37,76 +24,76 @@ def ratio_ci(
     resamples: int = 10_000,
     seed: int = 0,
     upper_shift: int = 0,
+    count: str | None = None,
 ) -> DataFrame:
     """95% interval of sum(numerator) / sum(denominator) per key (a mean when no
     denominator is given): keys + lo, hi.
 
-    Two stages: the collapsed counts of a key are resampled exactly while they
-    fit one group; a key with more distinct values than that uses Poisson
-    weights drawn per row and summed across partitions.
+    Rows that stand for several alike name their number in ``count``. The ends are order
+    statistics of the resamples with a denominator other than 0; a key without
+    any gives 0 and 0.
     """
     den = F.col(denominator).cast("double") if denominator else F.lit(1.0)
     collapsed = (
-        df.select(*keys, F.col(numerator).cast("double").alias("num"), den.alias("den"))
+        df.select(
+            *keys,
+            F.col(numerator).cast("double").alias("num"),
+            den.alias("den"),
+            (F.col(count) if count else F.lit(1)).cast("long").alias("n"),
+        )
         .groupBy(*keys, "num", "den")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    size = collapsed.groupBy(*keys).agg(F.count(F.lit(1)).alias("distinct_values"))
-    joined = collapsed.join(size, keys) if keys else collapsed.crossJoin(F.broadcast(size))
-    schema = ", ".join(
-        [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys] + ["lo double", "hi double"]
+        .agg(F.sum("n").alias("n"))
+        .withColumn("seed", F.xxhash64(F.lit(seed), *keys, "num", "den"))
     )
-
-    def exact(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["num", "den"])
-        n = pdf["n"].to_numpy()
-        rng = np.random.default_rng(_key_seed(seed, key))
-        num, den_ = pdf["num"].to_numpy(), pdf["den"].to_numpy()
-        out = []
-        chunk = max(1, 2_000_000 // len(n))
-        for at in range(0, resamples, chunk):
-            w = rng.multinomial(n.sum(), n / n.sum(), size=min(chunk, resamples - at))
-            bottom = w @ den_
-            out.append(np.divide(w @ num, bottom, out=np.zeros(len(w)), where=bottom != 0))
-        lo, hi = _ends(np.concatenate(out), upper_shift)
-        return pd.DataFrame([[*key, lo, hi]], columns=[*keys, "lo", "hi"])
+    kinds = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys]
+    schema = ", ".join([*kinds, "b long, num double, den double"])
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[tuple, np.ndarray] = {}
         for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                key = tuple(getattr(row, k) for k in keys)
-                rng = np.random.default_rng(_key_seed(seed, (*key, row.num, row.den)))
-                w = rng.poisson(row.n, resamples)
-                acc = sums.setdefault(key, np.zeros((2, resamples)))
-                acc += np.outer([row.num, row.den], w)
-        for key, acc in sums.items():
-            frame = pd.DataFrame({"b": np.arange(resamples), "num": acc[0], "den": acc[1]})
-            for name, value in zip(keys, key, strict=True):
-                frame[name] = value
+            where: dict[tuple, list[int]] = {}
+            for i, key in enumerate(zip(*(pdf[k] for k in keys), strict=True) if keys else [()] * len(pdf)):
+                where.setdefault(key, []).append(i)
+            value = pdf[["num", "den"]].to_numpy().T
+            count, seeds = pdf["n"].to_numpy(), pdf["seed"].to_numpy().view(np.uint64)
+            for key, rows in where.items():
+                total = sums.setdefault(key, np.zeros((2, resamples)))
+                for at in range(0, len(rows), 256):
+                    part = rows[at : at + 256]
+                    drawn = np.stack(
+                        [np.random.Generator(np.random.PCG64(seeds[i])).poisson(count[i], resamples) for i in part]
+                    )
+                    total += value[:, part] @ drawn
+        for key, (num, den_) in sums.items():
+            frame = pd.DataFrame({"b": np.arange(resamples), "num": num, "den": den_})
+            for name, part in zip(keys, key, strict=True):
+                frame[name] = part
             yield frame[[*keys, "b", "num", "den"]]
 
-    fits = joined.where(F.col("distinct_values") <= COLLAPSED_LIMIT)
-    group = fits.groupBy(*keys) if keys else fits.groupBy(F.lit(0).alias("__all"))
+    drawn = (
+        collapsed.mapInPandas(weigh, schema)
+        .groupBy(*keys, "b")
+        .agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
+        .select(*keys, F.when(F.col("den") != 0, F.col("num") / F.col("den")).alias("v"))
+    )
+    # ``resamples`` numbers per key
+    held = drawn.groupBy(*keys).agg(F.array_sort(F.collect_list("v")).alias("v"))
+    r = F.size("v")
+    last = F.least(r - 1, F.floor(F.lit(0.975) * r).cast("int") - upper_shift)
+    end = lambda i: F.coalesce(F.get("v", i), F.lit(0.0))
+    return held.select(
+        *keys,
+        end(F.floor(F.lit(0.025) * r).cast("int")).alias("lo"),
+        end(F.greatest(F.lit(0), last)).alias("hi"),
+    )
 
-    def exact_any(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return exact(key if keys else (), pdf)
 
-    small = group.applyInPandas(exact_any, schema)
-    weight_schema = ", ".join(
-        [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys]
-        + ["b long", "num double", "den double"]
-    )
-    per_draw = (
-        joined.where(F.col("distinct_values") > COLLAPSED_LIMIT)
-        .mapInPandas(weigh, weight_schema)
-        .groupBy(*keys, "b")
-        .agg((F.sum("num") / F.nullif(F.sum("den"), F.lit(0.0))).alias("v"))
+def _ends(values: np.ndarray, upper_shift: int) -> tuple[float, float]:
+    ordered = np.sort(values)
+    r = len(ordered)
+    return float(ordered[int(0.025 * r)]), float(
+        ordered[min(r - 1, int(0.975 * r) - upper_shift)]
     )
-    large = per_draw.groupBy(*keys).agg(
-        F.percentile("v", F.array(F.lit(0.025), F.lit(0.975))).alias("q")
-    ).select(*keys, F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi")).where("lo is not null")
-    return small.unionByName(large)
 
 
 def agreement_ci(
@@ -115,7 +102,8 @@ def agreement_ci(
     """Intervals of kappa and raw agreement from 2x2 counts, one row per key.
 
     ``cells`` has both_yes, yes_no, no_yes, both_no; its upper index is one lower
-    than that of ``ratio_ci``, as in the published intervals.
+    than that of ``ratio_ci``, as in the published intervals. A key
+    without votes has null intervals.
     """
     names = ["both_yes", "yes_no", "no_yes", "both_no"]
     extra = ["kappa_lo", "kappa_hi", "raw_lo", "raw_hi"]
@@ -126,6 +114,9 @@ def agreement_ci(
             for row in pdf.itertuples(index=False):
                 counts = np.array([getattr(row, c) for c in names])
                 n = counts.sum()
+                if not n:
+                    rows.append([None] * len(extra))
+                    continue
                 rng = np.random.default_rng(seed)
                 a, b, c, d = rng.multinomial(n, counts / n, size=resamples).T / n
                 seen, pa, pb = a + d, a + b, a + c
