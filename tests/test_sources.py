@@ -25,7 +25,8 @@ def test_transcript_log_later_line_wins(spark, tmp_path):
     (tmp_path / "log.jsonl").write_text("\n\n".join(map(json.dumps, lines)) + "\nnot json\n")
     raw = logs.json_lines(spark, str(tmp_path / "log.jsonl"), logs.TRANSCRIPT)
     assert [r.bad_line for r in logs.rejected_rows(raw).collect()] == ["not json"]
-    log = logs.read_transcripts(spark, str(tmp_path / "log.jsonl"))
+    log, rejected = logs.read_transcripts(spark, str(tmp_path / "log.jsonl"))
+    assert [r.bad_line for r in rejected.collect()] == ["not json"]
     latest = ops.latest(log, logs.TRANSCRIPT_KEY)
     assert {r.example_id: r.raw_text for r in latest.collect()} == {"1": "new", "2": "x"}
 
@@ -34,7 +35,9 @@ def test_append_refuses_an_empty_id_and_work_lists_resume(spark, tmp_path):
     df = spark.createDataFrame([record("1", "x"), record("", "y")])
     rejected = ops.append_log(df, str(tmp_path / "log"), ["dataset", "stt"])
     assert rejected.count() == 1
-    log = spark.read.parquet(str(tmp_path / "log"))
+    assert ops.append_log(spark.createDataFrame([record("1", "newer")]), str(tmp_path / "log"), ["dataset", "stt"]).count() == 0
+    log = ops.read_log(spark, str(tmp_path / "log"))
+    assert [r.raw_text for r in ops.latest(log, ["example_id"]).collect()] == ["newer"]
     wanted = spark.createDataFrame([("1",), ("2",)], "example_id string")
     assert [r.example_id for r in ops.missing(wanted, log, ["example_id"]).collect()] == ["2"]
 
@@ -43,7 +46,7 @@ def test_outcome_defaults_and_tool_tasks(spark, tmp_path):
     row = {"example_id": "1", "language": "english", "index": 0, "condition": "gt", "run": 1,
            "outcome": "pass", "tool_call": {"name": "f", "arguments": {"a": 1}}}
     (tmp_path / "runs.jsonl").write_text(json.dumps(row) + "\n")
-    got = logs.read_outcomes(spark, str(tmp_path / "runs.jsonl")).first()
+    got = logs.read_outcomes(spark, str(tmp_path / "runs.jsonl"))[0].first()
     assert (got.error_class, got.model, got.ts) == ("", "", "")
     task = [{"id": "1", "query": "q", "path": "p", "functions": [{"name": "f", "parameters": {"properties": {
         "t": {"type": "array"}}}}], "expected_tool_call": [{"f": {"t": ["x"], "n": [3]}}]},
@@ -56,8 +59,9 @@ def test_outcome_defaults_and_tool_tasks(spark, tmp_path):
 
 def test_references_manifest_labels(spark, tmp_path):
     (tmp_path / "text").write_text("u1 hello there\nu2\n u3\n", encoding="utf-8")
-    refs = {r.uttid: r.text for r in logs.read_references(spark, str(tmp_path / "text")).collect()}
-    assert refs == {"u1": "hello there", "u2": ""}
+    good, rejected = logs.read_references(spark, str(tmp_path / "text"))
+    assert {r.uttid: r.text for r in good.collect()} == {"u1": "hello there", "u2": ""}
+    assert [r.bad_line for r in rejected.collect()] == [" u3"]
     items = [{"uttid": "a", "seconds": 1.5, "sample_rate_hz": 8000}]
     (tmp_path / "m.json").write_text(json.dumps({"seed": 0, "max_seconds": 9, "items": items}, indent=1))
     assert logs.read_sample_manifest(spark, str(tmp_path / "m.json")).first().seconds == 1.5
@@ -142,5 +146,5 @@ def test_turn_stream_closes_on_a_mark(spark, tmp_path):
 def test_wer_on_a_log_file_end_to_end(spark, tmp_path):
     lines = [record("1", "a"), record("2", "a b c"), record("2", "a b")]
     (tmp_path / "log.jsonl").write_text("\n".join(map(json.dumps, lines)))
-    log = ops.latest(logs.read_transcripts(spark, str(tmp_path / "log.jsonl")), logs.TRANSCRIPT_KEY)
+    log = ops.latest(logs.read_transcripts(spark, str(tmp_path / "log.jsonl"))[0], logs.TRANSCRIPT_KEY)
     assert wer.corpus_wer(wer.scored_transcripts(log)).first().wer == 0.25

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from utterlab.sources.tables import small_side
@@ -66,15 +66,41 @@ def reuse_transcripts(
 
 def append_log(log: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write new records and return the rejects (empty example_id), never dropped
-    silently: the caller reports or stores them."""
+    silently: the caller reports or stores them.
+
+    Every append is a folder of its own, numbered on from those there, so that
+    ``read_log`` can order records over appends. One writer appends at a time; rows of
+    one append keep the order they have in ``ingest_pos``, else that of their partitions.
+    """
+    spark = log.sparkSession
+    number = _appends(spark, path) + 1
     good = log.where(F.col("example_id").isNotNull() & (F.col("example_id") != ""))
-    writer = good.write.mode("append")
+    place = F.col("ingest_pos") if "ingest_pos" in log.columns else F.monotonically_increasing_id()
+    writer = good.withColumn("append_pos", place).drop("ingest_pos").write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    writer.parquet(f"{path}/append={number:09d}")
     return log.where(F.col("example_id").isNull() | (F.col("example_id") == ""))
 
 
+def _appends(spark: SparkSession, path: str) -> int:
+    """Number of the last append, from the folder names alone."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.parquet(path).agg(F.max("append")).first()[0] or 0
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return 0
+        raise
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """An appended log with ``ingest_pos``: later appends, then later rows, come last."""
+    log = spark.read.parquet(path)
+    return log.withColumn("ingest_pos", F.struct("append", "append_pos")).drop("append", "append_pos")
+
+
 def drifted_rows(now: DataFrame, then: DataFrame, keys: list[str], column: str) -> DataFrame:
     """Rows whose text changed since it was selected."""
     old = then.select(*keys, F.col(column).alias("__then"))

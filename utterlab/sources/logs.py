@@ -66,8 +66,16 @@ def rejected_rows(log: DataFrame) -> DataFrame:
     return log.where("bad_line is not null").select("ingest_pos", "bad_line")
 
 
-def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    return good_rows(json_lines(spark, path, TRANSCRIPT))
+Log = tuple[DataFrame, DataFrame]
+"""(good rows, rejected lines): a reader never drops a line without handing it over."""
+
+
+def split_log(log: DataFrame) -> Log:
+    return good_rows(log), rejected_rows(log)
+
+
+def read_transcripts(spark: SparkSession, path: str) -> Log:
+    return split_log(json_lines(spark, path, TRANSCRIPT))
 
 
 def with_outcome_defaults(log: DataFrame) -> DataFrame:
@@ -75,12 +83,13 @@ def with_outcome_defaults(log: DataFrame) -> DataFrame:
     return log.fillna("", ["error_class", "model", "ts"])
 
 
-def read_outcomes(spark: SparkSession, path: str) -> DataFrame:
-    return with_outcome_defaults(good_rows(json_lines(spark, path, OUTCOME)))
+def read_outcomes(spark: SparkSession, path: str) -> Log:
+    good, rejected = split_log(json_lines(spark, path, OUTCOME))
+    return with_outcome_defaults(good), rejected
 
 
-def read_verdicts(spark: SparkSession, path: str) -> DataFrame:
-    return good_rows(json_lines(spark, path, VERDICT))
+def read_verdicts(spark: SparkSession, path: str) -> Log:
+    return split_log(json_lines(spark, path, VERDICT))
 
 
 def read_latency(spark: SparkSession, path: str) -> DataFrame:
@@ -99,10 +108,13 @@ def keyed_text(line: Column) -> tuple[Column, Column]:
     )
 
 
-def read_references(spark: SparkSession, path: str) -> DataFrame:
+def read_references(spark: SparkSession, path: str) -> Log:
+    """Keyed texts; lines without an id are rejected."""
     uttid, text = keyed_text(F.col("value"))
+    lines = spark.read.text(path).withColumns({"uttid": uttid, "text": text})
     return (
-        spark.read.text(path).select(uttid.alias("uttid"), text.alias("text")).where("uttid <> ''")
+        lines.where("uttid <> ''").select("uttid", "text"),
+        lines.where("uttid = ''").select(F.col("value").alias("bad_line")),
     )
 
 
