@@ -133,11 +133,11 @@ def test_channel_label_and_attempts(spark):
 
 def test_model_and_run_labels(spark):
     row = spark.range(1).select(
-        tx.model_label(F.lit("sarvam"), F.lit("saaras:v3"), F.lit("small")),
-        tx.model_label(F.lit("whisper"), F.lit("x"), F.lit("small")),
+        tx.model_label(F.lit("hosted"), {"hosted": F.lit("large:v3")}, F.lit("small/int8")),
+        tx.model_label(F.lit("local"), {"hosted": F.lit("x")}, F.lit("small/int8")),
         tx.run_label(F.lit("f3"), F.lit("svarah"), F.lit("2026-01-02 03:04:05").cast("timestamp")),
     ).first()
-    assert list(row) == ["saaras:v3", "small/int8", "f3-svarah-2026-01-02T03:04:05Z"]
+    assert list(row) == ["large:v3", "small/int8", "f3-svarah-2026-01-02T03:04:05Z"]
 
 
 @pytest.mark.parametrize(

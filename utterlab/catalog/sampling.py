@@ -290,12 +290,21 @@ def transcript_latest(spark, folder):
 )
 def speakable_turns(spark, folder):
     turns = table(spark, folder, "conversations")
-    marked = F.concat(
-        F.lit("## "), F.replace("text", F.lit("\n"), F.lit("\n- **")), F.lit("**")
+    # the same text as a heading, list items, nested emphasis, code and a link
+    lines = F.transform(
+        F.split("text", "\n"),
+        lambda x, i: F.when(F.trim(x) == "", x)
+        .when(i == 0, F.concat(F.lit("## "), x))
+        .when(i % 4 == 1, F.concat(F.lit("- "), x))
+        .when(i % 4 == 2, F.concat(F.lit("12. "), x))
+        .when(i % 4 == 3, F.concat(F.lit("* ["), x, F.lit("](http://a.b/c)")))
+        .otherwise(F.concat(F.lit("`"), x, F.lit("`"))),
     )
-    plain = F.replace(marked, F.lit("- **"), F.lit("- "))
-    plain = F.regexp_replace(plain, r"\*\*\z", "")
-    return turns.select("conv_id", "turn", tx.speakable(plain).alias("spoken"))
+    words = F.transform(
+        F.split(F.array_join(lines, "\n"), " "),
+        lambda w, i: F.when((i % 9 == 4) & w.rlike(r"^[\p{L}]+$"), F.concat(F.lit("**_"), w, F.lit("_**"))).otherwise(w),
+    )
+    return turns.select("conv_id", "turn", tx.speakable(F.array_join(words, " ")).alias("spoken"))
 
 
 @query(

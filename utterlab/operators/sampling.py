@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from utterlab.operators.scan import first_k, hash_bucket, hash_order, ranked
+from utterlab.operators.scan import first_k, hash_bucket, hash_order, ranked, running_before
 from utterlab.sources.tables import small_side
 
 
@@ -72,12 +72,12 @@ def cluster_sample(
     shard is kept); all their entity rows, and n clean rows drawn from them."""
     flagged = df.withColumn("is_entity", is_entity)
     per_shard = flagged.groupBy(shard).agg(F.count_if("is_entity").alias("n"))
-    before = Window.orderBy(hash_order(seed, shard), shard).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
+    ordered = per_shard.withColumns({"__h": hash_order(seed, shard), "__all": F.lit(0)})
     drawn = (
-        per_shard.withColumn("__before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-        .where(F.col("__before") < min_entity)
+        running_before(
+            ordered, ["__all"], hash_bucket(F.col("__h"), 3), ["__h", shard], F.col("n"), "sum", "__before"
+        )
+        .where(F.coalesce("__before", F.lit(0)) < min_entity)
         .select(shard)
     )
     rows = flagged.join(small_side(drawn), shard, "left_semi")

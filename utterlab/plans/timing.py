@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from utterlab.operators.intervals import STAGES, TURN, stage_totals
 from utterlab.operators.percentiles import percentiles
+from utterlab.operators.scan import running_before
 from utterlab.sources.tables import small_side
 
 STAGE_MS = ("endpoint_ms", "stt_ms", "llm_ms", "tts_ms")
@@ -147,11 +148,13 @@ def pareto_front(points: DataFrame, x: str = "wer", y: str = "stt_p50_ms") -> Da
     """Points no other beats on both axes (lower is better); equal points stay.
 
     A point survives when it has the least x of its y and no smaller y reaches
-    that x: one prefix minimum over the distinct y values.
+    that x: one prefix minimum over the distinct y values, in two levels of order-
+    preserving buckets.
     """
     best = points.groupBy(y).agg(F.min(x).alias("__best"))
-    earlier = Window.orderBy(y).rowsBetween(Window.unboundedPreceding, -1)
-    front = best.withColumn("__below", F.min("__best").over(earlier))
+    front = running_before(
+        best.withColumn("__all", F.lit(0)), ["__all"], F.floor(y), [y], -F.col("__best"), "max", "__low"
+    ).select(y, "__best", (-F.col("__low")).alias("__below"))
     return (
         points.join(front, y)
         .where(

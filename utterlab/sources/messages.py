@@ -58,7 +58,7 @@ def frame_loss(messages: DataFrame) -> DataFrame:
     """Per stream: media frames expected from the chunk numbers, and the share lost."""
     media = messages.where(
         F.col("reject").isNull() & (F.col("m.event") == "media")
-    ).select(F.col("m.streamSid").alias("stream_sid"), F.col("m.media.chunk").cast("bigint").alias("c"))
+    ).select(F.col("m.streamSid").alias("stream_sid"), F.col("m.media.chunk").try_cast("bigint").alias("c"))
     # one row per (stream, chunk) first, so a long call is counted in parallel
     once = media.where("c is not null").groupBy("stream_sid", "c").agg(F.lit(1).alias("one"))
     return (
