@@ -170,7 +170,9 @@ def splits(files: DataFrame, split_bytes: int = 64 << 20) -> DataFrame:
     )
 
 
-def read_warc(files: DataFrame, split_bytes: int = 64 << 20) -> DataFrame:
+def read_warc(
+    files: DataFrame, split_bytes: int = 64 << 20, max_tasks: int = 100_000
+) -> DataFrame:
     """Records of the (path, length) archives, each owned by the range it starts in."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +189,9 @@ def read_warc(files: DataFrame, split_bytes: int = 64 << 20) -> DataFrame:
                             rows, held = [], 0
                     yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
 
-    return splits(files, split_bytes).repartition("path", "start").mapInArrow(read, RECORDS)
+    ranges = splits(files, split_bytes)
+    tasks = min(max(ranges.count(), 1), max_tasks)  # a given number is not coalesced again
+    return ranges.repartition(tasks, "path", "start").mapInArrow(read, RECORDS)
 
 
 _SCHEMA = pa.schema(
