@@ -163,7 +163,7 @@ def test_both_substring_forms_count_like_a_loop(spark, lexicon):
     values = [*texts(), "upiupi upi", "GSTgst youngsters", "pfpf"]
     df = spark.createDataFrame(list(enumerate(values)), "id int, text string")
     for form in (lexicon, dataclasses.replace(lexicon, spellings=None)):
-        got = df.withColumn("h", m.substring_hits(F.col("text"), form)).collect()
+        got = m.with_substring_hits(df, "text", form, "h").collect()
         for r in got:
             want = [
                 (s.canonical, s.variant.lower(), r.text.lower().count(s.variant.lower()))

@@ -30,6 +30,7 @@ def load_all() -> None:
         entities,
         judging,
         noise,
+        readers,
         sampling,
         streams,
         timing,

@@ -181,6 +181,15 @@ def is_blank(text: Column) -> Column:
     return F.regexp_replace(text, rf"[{SPACE}]+", "") == ""
 
 
+def blank_outcome(text: Column) -> Column:
+    """(outcome, error_class) before any call: a blank text fails, any other is to be judged."""
+    blank = F.coalesce(is_blank(text), F.lit(True))
+    return F.struct(
+        F.when(blank, "fail").otherwise("judge").alias("outcome"),
+        F.when(blank, "empty_text").otherwise("").alias("error_class"),
+    )
+
+
 def has_devanagari(text: Column) -> Column:
     return text.rlike(r"[\u0900-\u097f]")
 

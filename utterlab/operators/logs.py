@@ -101,6 +101,11 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return log.withColumn("ingest_pos", F.struct("append", "append_pos")).drop("append", "append_pos")
 
 
+def with_task(outcomes: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Outcomes beside their task; example ids repeat across languages."""
+    return outcomes.join(manifest, ["language", "example_id"])
+
+
 def drifted_rows(now: DataFrame, then: DataFrame, keys: list[str], column: str) -> DataFrame:
     """Rows whose text changed since it was selected."""
     old = then.select(*keys, F.col(column).alias("__then"))

@@ -8,12 +8,10 @@ broadcast hash join of word n-grams, followed by a claim per text.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
 
 from utterlab.functions.text import WORD, fold, let
 from utterlab.sources.lexicon import Lexicon
@@ -262,16 +260,56 @@ def contains_spelling(text: Column, spelling: Column) -> Column:
 HIT = "array<struct<canonical:string,v:string,n:bigint>>"
 
 
-def substring_hits(text: Column, lexicon: Lexicon) -> Column:
-    """array<struct<canonical, v, n>> in declared order: every spelling found anywhere,
+def _occurrences(low: Column, needle: Column) -> Column:
+    """Non-overlapping occurrences of ``needle`` in ``low``."""
+    gone = F.length(low) - F.length(F.replace(low, needle))
+    return (gone / F.length(needle)).cast("bigint")
+
+
+def with_substring_hits(df: DataFrame, text: str, lexicon: Lexicon, out: str = "hits") -> DataFrame:
+    """Adds array<struct<canonical, v, n>> in declared order: every spelling found anywhere,
     even inside a word, with its non-overlapping count (audit only).
 
-    A small lexicon is a literal array searched in the JVM. A larger one is an
-    automaton broadcast to the tasks, which reads each text once whatever its size;
-    give that form its own column before using it in a lambda.
+    A lexicon that fits the row is a literal array. Any other is joined by character grams:
+    the first letters of each spelling, as many as the shortest has, meet the distinct grams
+    of each distinct text, and what meets is searched.
     """
-    if lexicon.spellings is None or len(lexicon.spellings) > 200:
-        return _automaton_hits(lexicon)(F.lower(text))
+    if lexicon.spellings is not None:
+        return df.withColumn(out, _literal_hits(F.col(text), lexicon))
+    spellings = lexicon.frame.select("canonical", "ord", F.lower("variant").alias("v"))
+    size = spellings.agg(F.min(F.length("v"))).first()[0] or 1
+    chars = F.split("low", "")
+    grams = F.transform(
+        F.sequence(F.lit(1), F.length("low") - size + 1),
+        lambda i: F.array_join(F.slice(F.col("chars"), i, F.lit(size)), ""),
+    )
+    lows = df.select(F.lower(text).alias("low")).where("low IS NOT NULL").distinct()
+    met = (
+        lows.where(F.length("low") >= size)
+        .withColumn("chars", chars)
+        .select("low", F.explode(F.array_distinct(grams)).alias("gram"))
+        .join(spellings.withColumn("gram", F.left("v", F.lit(size))), "gram")
+        .where(F.contains("low", "v"))
+        .groupBy("low")
+        .agg(
+            F.array_sort(
+                F.collect_list(F.struct("ord", "canonical", "v", _occurrences(F.col("low"), F.col("v")).alias("n")))
+            ).alias("found")
+        )
+        .select(
+            F.col("low").alias("__low"),
+            F.transform("found", lambda s: F.struct(s["canonical"].alias("canonical"), s["v"].alias("v"), s["n"].alias("n"))).alias("__found"),
+        )
+    )
+    none = F.when(F.col(text).isNotNull(), F.array().cast(HIT))
+    return (
+        df.join(met, F.lower(text) == F.col("__low"), "left")
+        .withColumn(out, F.coalesce("__found", none))
+        .drop("__low", "__found")
+    )
+
+
+def _literal_hits(text: Column, lexicon: Lexicon) -> Column:
     literals = F.array(
         *[
             F.struct(F.lit(s.canonical).alias("canonical"), F.lit(s.variant.lower()).alias("v"))
@@ -283,56 +321,14 @@ def substring_hits(text: Column, lexicon: Lexicon) -> Column:
         lambda low: F.transform(
             F.filter(literals, lambda s: F.contains(low, s["v"])),
             lambda s: F.struct(
-                s["canonical"].alias("canonical"),
-                s["v"].alias("v"),
-                ((F.length(low) - F.length(F.replace(low, s["v"]))) / F.length(s["v"]))
-                .cast("bigint")
-                .alias("n"),
+                s["canonical"].alias("canonical"), s["v"].alias("v"), _occurrences(low, s["v"]).alias("n")
             ),
         ),
     )
 
 
-def _automaton_hits(lexicon: Lexicon) -> Callable[[Column], Column]:
-    spellings = [(s.canonical, s.variant.lower()) for s in lexicon.all_spellings()]
-    shared = lexicon.frame.sparkSession.sparkContext.broadcast(spellings)
-
-    @arrow_udf(HIT)
-    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        import ahocorasick
-
-        rows = shared.value
-        by_text: dict[str, list[int]] = {}
-        for i, (_, v) in enumerate(rows):
-            by_text.setdefault(v, []).append(i)
-        automaton = ahocorasick.Automaton()
-        for v in by_text:
-            automaton.add_word(v, v)
-        automaton.make_automaton()
-        kind = pa.list_(
-            pa.struct([("canonical", pa.string()), ("v", pa.string()), ("n", pa.int64())])
-        )
-        for batch in batches:
-            out = []
-            for text in batch.to_pylist():
-                count: dict[str, int] = {}
-                free: dict[str, int] = {}
-                for last, v in automaton.iter(text or ""):
-                    begin = last - len(v) + 1
-                    if begin >= free.get(v, 0):  # leftmost, not overlapping itself
-                        count[v] = count.get(v, 0) + 1
-                        free[v] = last + 1
-                found = sorted((i, n) for v, n in count.items() for i in by_text[v])
-                out.append(
-                    [{"canonical": rows[i][0], "v": rows[i][1], "n": n} for i, n in found]
-                )
-            yield pa.array(out, kind)
-
-    return find
-
-
 def substring_entities(hits: Column) -> Column:
-    """Distinct entities of ``substring_hits``, sorted."""
+    """Distinct entities of the substring hits, sorted."""
     return F.array_sort(F.array_distinct(F.transform(hits, lambda s: s["canonical"])))
 
 

@@ -79,6 +79,11 @@ def spelling_rows(entries: DataFrame) -> DataFrame:
     )
 
 
+def find(spellings: DataFrame, names: DataFrame) -> DataFrame:
+    """The spellings of the ``canonical`` names asked for."""
+    return spellings.join(names.select("canonical").distinct(), "canonical", "left_semi")
+
+
 def civic_lexicon(spark: SparkSession) -> DataFrame:
     rows = [(i, c, v) for i, (c, v) in enumerate(CIVIC_ENTITIES.items())]
     entries = spark.createDataFrame(
@@ -130,11 +135,6 @@ class Lexicon:
         small = rows is not None and not overlapping(rows)
         return Lexicon(frame, rows, stats["widest"] or 1, stats["words"] or 1, small)
 
-    def all_spellings(self) -> list[Spelling]:
-        """Every row in declared order; ``of`` has checked that they are few enough."""
-        rows = self.frame.orderBy("ord").collect()
-        return [Spelling(r["canonical"], r["script"], r["variant"]) for r in rows]
-
 
 def is_word_char(char: str) -> bool:
     return char in "_\u200c\u200d" or unicodedata.category(char)[0] in "LMN"

@@ -174,11 +174,11 @@ LABEL_COLUMNS = [
 
 
 def write_label_sheet(items: DataFrame, path: str) -> None:
-    """Blank labelling sheet in the fixed column order (a bounded sample: one file)."""
+    """Blank labelling sheet in the fixed column order; every part file has a header."""
     sheet = items.withColumns({"label": F.lit(""), "note": F.lit("")}).select(*LABEL_COLUMNS)
-    sheet.coalesce(1).write.mode("overwrite").option("header", True).option(
-        "escape", '"'
-    ).option("emptyValue", "").csv(path)
+    sheet.write.mode("overwrite").option("header", True).option("escape", '"').option(
+        "emptyValue", ""
+    ).csv(path)
 
 
 def unmatched_labels(labels: DataFrame, population: DataFrame, columns: list[str]) -> DataFrame:
