@@ -55,15 +55,26 @@ def parse_messages(frames: DataFrame, column: str = "raw") -> DataFrame:
 
 
 def frame_loss(messages: DataFrame) -> DataFrame:
-    """Per stream: media frames expected from the chunk numbers, and the share lost."""
+    """Per stream: media frames expected from the chunk numbers, the share lost, and how
+    many media frames carry no number, which say nothing about loss."""
     media = messages.where(
         F.col("reject").isNull() & (F.col("m.event") == "media")
-    ).select(F.col("m.streamSid").alias("stream_sid"), F.col("m.media.chunk").try_cast("bigint").alias("c"))
+    ).select(
+        F.col("m.streamSid").alias("stream_sid"),
+        F.col("m.media.chunk").try_cast("bigint").alias("c"),
+    )
     # one row per (stream, chunk) first, so a long call is counted in parallel
-    once = media.where("c is not null").groupBy("stream_sid", "c").agg(F.lit(1).alias("one"))
+    once = media.groupBy("stream_sid", "c").agg(F.count(F.lit(1)).alias("frames"))
+    numbered = F.col("c").isNotNull()
     return (
         once.groupBy("stream_sid")
-        .agg((F.max("c") - F.min("c") + 1).alias("frames_in"), F.count(F.lit(1)).alias("seen"))
+        .agg(
+            (F.max("c") - F.min("c") + 1).alias("frames_in"),
+            F.count_if(numbered).alias("seen"),
+            F.coalesce(F.sum(F.when(~numbered, F.col("frames"))), F.lit(0)).alias(
+                "frames_unnumbered"
+            ),
+        )
         .withColumn("frames_lost", F.col("frames_in") - F.col("seen"))
         .withColumn("loss_rate", F.try_divide("frames_lost", "frames_in"))
         .drop("seen")

@@ -10,11 +10,16 @@ from pyspark.sql.streaming import StreamingQuery
 from utterlab.session import shared_folder
 
 
-def read_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One table of ``folder`` as a file stream."""
+def read_stream(
+    spark: SparkSession, folder: str, name: str, batch_files: int = 1000
+) -> DataFrame:
+    """One table of ``folder`` as a file stream, a backlog in batches of ``batch_files`` files."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
     return (
-        spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+        spark.readStream.schema(schema)
+        .option("pathGlobFilter", f"{name}.parquet")
+        .option("maxFilesPerTrigger", batch_files)
+        .parquet(folder)
     )
 
 
