@@ -28,6 +28,7 @@ from utterlab.llm.registry import query
 from utterlab.llm.shared import written
 from utterlab.llm.words import U64, mix, pieces, windows, words
 
+ALPHA, DELTA, TOLERANCE = 0.05, 0.05, 0.01
 GRID = (4.0, 3.0, 2.5, 2.0, 1.75, 1.5, 1.25, 1.0)
 #: Share of words (or letters, or lines) at which a feature counts as fully suspicious.
 REFERENCE = {
@@ -138,9 +139,9 @@ def choose_cutoffs(
     stratum: str,
     score: str,
     clean: str,
-    alpha: float = 0.05,
-    delta: float = 0.05,
-    tolerance: float = 0.01,
+    alpha: float = ALPHA,
+    delta: float = DELTA,
+    tolerance: float = TOLERANCE,
     grid: tuple[float, ...] = GRID,
 ) -> DataFrame:
     """(stratum, cutoff, n, false_rejections), one row per stratum.
@@ -185,7 +186,70 @@ def choose_cutoffs(
     )
 
 
-@query("op9_quality_rules")
+def _grid_sql(template: str, sep: str = ", ") -> str:
+    return sep.join(template.format(i=i, c=c) for i, c in enumerate(GRID))
+
+
+_COUNT_SQL = r"length(regexp_replace(t, '[^{0}]', '', 'g'))"
+
+#: The binomial tail is a sum of logarithmic terms here, a continued fraction in Spark.
+QUALITY_SQL = rf"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (
+  SELECT doc_id, lang, t,
+    list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+  FROM d
+), g AS (
+  SELECT doc_id, i, [ws[i], ws[i + 1], ws[i + 2]] AS tri
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)
+), r AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (
+    SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (
+      SELECT *, count(*) OVER (PARTITION BY doc_id, tri) AS c FROM g) WHERE c > 1) GROUP BY 1
+), f AS (
+  SELECT w.doc_id, lang, len(ws)::BIGINT AS n_words,
+    coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    {_COUNT_SQL.format("#*$%&|<>")}::BIGINT AS n_symbols,
+    (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+    coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines,
+    {_COUNT_SQL.format("A-Za-z")} AS n_letters, {_COUNT_SQL.format("A-Z")} AS n_upper,
+    {_COUNT_SQL.format("!")} AS n_bangs
+  FROM w LEFT JOIN r USING (doc_id)
+), k AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    greatest(n_symbols / greatest(n_words, 1) / {REFERENCE["symbol_share"]},
+      n_repeat_words / greatest(n_words, 1) / {REFERENCE["repeat_share"]},
+      n_dup_lines / greatest(n_lines, 1) / {REFERENCE["dup_line_share"]},
+      n_upper / greatest(n_letters, 1) / {REFERENCE["upper_share"]},
+      n_bangs / greatest(n_words, 1) / {REFERENCE["bang_share"]}) AS risk FROM f
+), c AS (
+  SELECT lang, count(*) FILTER (WHERE quality = 1) AS n, count(*) OVER () AS strata,
+    {_grid_sql("count(*) FILTER (WHERE quality = 1 AND risk > {c}) AS k{i}")},
+    {_grid_sql("count(*) FILTER (WHERE quality = 0 AND risk > {c}) AS j{i}")}
+  FROM k JOIN labels USING (doc_id) WHERE NOT base_failed AND quality IS NOT NULL GROUP BY lang
+), u AS (
+  SELECT lang, n, strata, unnest(range({len(GRID)})) AS i,
+    unnest([{_grid_sql("k{i}")}]) AS wrong, unnest([{_grid_sql("j{i}")}]) AS junk,
+    unnest([{_grid_sql("{c}::DOUBLE")}]) AS cut FROM c
+), p AS (
+  SELECT *, n > 0 AND list_sum(list_transform(range(wrong + 1), lambda x: exp(
+      lgamma(n + 1) - lgamma(x + 1) - lgamma(n - x + 1) + x * ln({ALPHA}) + (n - x) * ln(1 - {ALPHA}))))
+    <= {DELTA} / strata AS ok FROM u WHERE n > 0
+), q AS (
+  SELECT *, bool_and(ok) OVER (PARTITION BY lang ORDER BY i) AS passed FROM p
+), m AS (
+  SELECT *, arg_max(junk, i) OVER (PARTITION BY lang) AS most FROM q WHERE passed
+), x AS (
+  SELECT lang, arg_min(cut, i) AS cutoff FROM m WHERE junk >= (1 - {TOLERANCE}) * most GROUP BY lang
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT coalesce(risk > cutoff, false) AS kept
+FROM k LEFT JOIN x ON k.lang IS NOT DISTINCT FROM x.lang
+"""
+
+
+@query("op9_quality_rules", QUALITY_SQL)
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents pass the base rule and the risk-controlled cutoff of their language?"""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
