@@ -10,7 +10,6 @@ from check_oracle import compare, oracle_connection
 from __spark_entry__ import oracle_sql, queries
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-SLOW = {"entity_threshold_choice"}  # the sweep below it is checked
 
 
 @pytest.fixture(scope="module")
@@ -18,7 +17,7 @@ def con():
     return oracle_connection(FOLDER)
 
 
-@pytest.mark.parametrize("name", [n for n in queries() if n not in SLOW])
+@pytest.mark.parametrize("name", list(queries()))
 def test_query(spark, con, name):
     df = queries()[name](spark, FOLDER)
     got = (df.columns, [tuple(r) for r in df.collect()])
