@@ -7,8 +7,8 @@ anywhere (an earlier document, or earlier in its own) is removed; the first occu
 document id and place, stays. Hashes only propose: a chunk is removed after its bytes were
 found equal to the first occurrence's.
 
-Counting takes two longs per chunk through one shuffle, pre-aggregated; chunk texts travel
-only for chunks whose hash repeats, and equal texts collapse before the shuffle.
+Counting takes two longs per chunk through one shuffle, pre-aggregated. A bitmap of fixed
+size over the repeated hashes keeps most other chunk texts out of the second shuffle.
 
 Defined cases: a null text stays null and holds no chunk; empty lines are lines; a null id
 sorts after all others; rows of equal id and text share one decision; a document of repeated
@@ -20,10 +20,12 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from utterlab.llm.membership import member_filter, slot, unpacked
 from utterlab.llm.registry import query
 from utterlab.llm.shared import written
 
@@ -50,10 +52,15 @@ def chunks(text: str, window: int = WINDOW, divisor: int = DIVISOR) -> Iterator[
             begin = i + 1
 
 
-def _chunk_rows(docs: DataFrame, window: int, divisor: int, with_text: bool) -> DataFrame:
-    """(id, version, place, hash[, chunk]) of every chunk of two lines or more."""
+def _chunk_rows(
+    docs: DataFrame, window: int, divisor: int, wanted: np.ndarray | None = None
+) -> DataFrame:
+    """(id, version, place, hash) of every chunk of two lines or more; with ``wanted``
+    (``membership.member_filter``) also the texts, of chunks it lets pass."""
+    with_text = wanted is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = unpacked(wanted) if with_text else None
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             held = 0
@@ -70,20 +77,21 @@ def _chunk_rows(docs: DataFrame, window: int, divisor: int, with_text: bool) ->
                         column.append(value)
                     held += len(raw) if with_text else 40
                 if held > 8 << 20:
-                    yield _batch(out, batch.schema, with_text)
+                    yield _batch(out, batch.schema, flags)
                     out, held = [[], [], [], [], []], 0
-            yield _batch(out, batch.schema, with_text)
+            yield _batch(out, batch.schema, flags)
 
     kind = docs.schema["__id"].dataType.simpleString()
     schema = f"id {kind}, version long, place long, hash long" + ", chunk string" * with_text
     return docs.select("__id", "__version", "__text").mapInArrow(run, schema)
 
 
-def _batch(out: list[list], schema: pa.Schema, with_text: bool) -> pa.RecordBatch:
+def _batch(out: list[list], schema: pa.Schema, flags: np.ndarray | None) -> pa.RecordBatch:
     kinds = [schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.string()]
-    n = 5 if with_text else 4
+    n = 4 if flags is None else 5
     names = ["id", "version", "place", "hash", "chunk"][:n]
-    return pa.RecordBatch.from_arrays([pa.array(out[i], kinds[i]) for i in range(n)], names)
+    made = pa.RecordBatch.from_arrays([pa.array(out[i], kinds[i]) for i in range(n)], names)
+    return made if flags is None else made.filter(pa.array(flags[slot(made.column("hash").to_numpy())]))
 
 
 def repeated_chunks(
@@ -99,7 +107,7 @@ def repeated_chunks(
     )
     # A repeat needs a hash seen twice; that many longs are all that is counted first.
     counted = (
-        _chunk_rows(rows, window, divisor, False)
+        _chunk_rows(rows, window, divisor)
         .groupBy("hash")
         .agg(F.count(F.lit(1)).alias("n"))
         .where("n > 1")
@@ -109,9 +117,9 @@ def repeated_chunks(
     placed = F.struct(F.col("id").isNull().alias("none"), "id", "version", "place")
     salt = F.pmod(F.xxhash64("id", "version", "place"), F.lit(_SALTS)).cast("int")
     found = (
-        _chunk_rows(rows, window, divisor, True)
+        _chunk_rows(rows, window, divisor, member_filter(again))
         .withColumn("salt", salt)
-        .join(again.select("hash", F.explode(_salts()).alias("salt")), ["hash", "salt"])
+        .join(again.select("hash", F.explode(_salts()).alias("salt")).hint("merge"), ["hash", "salt"])
         .select("hash", "chunk", placed.alias("at"))
     )
     suspects = written(found, "chunks")

@@ -89,7 +89,7 @@ def fit(
     labels: DataFrame,
     label: str,
     sample: int = 20_000,
-    features_kept: int = 8_192,
+    features_kept: int = 4_096,
     min_docs: int = 3,
     ridge: float = 1.0,
     parts: int = 8,
@@ -106,11 +106,12 @@ def fit(
             rate = (seen[1] + 1) / (seen.sum() + 2)
             return Model(np.zeros(0, np.uint32), np.zeros(0), float(np.log(rate / (1 - rate))))
         index, ratio = _select(total, seen, features_kept, min_docs)
-        hits = rows.mapInArrow(_hits(index), "label int, hits binary").collect()
+        del counts, total
+        hits = rows.mapInArrow(_hits(index), "label int, hits binary").toArrow()
     finally:
         rows.unpersist()
-    y = np.array([r.label for r in hits], float)
-    columns = [np.frombuffer(r.hits, np.int32) for r in hits]
+    y = hits.column("label").to_numpy().astype(float)
+    columns = [np.frombuffer(x.as_buffer(), np.int32) for x in hits.column("hits")]
     return Model(index, *_regress(columns, y, ratio, ridge))
 
 
@@ -160,8 +161,8 @@ def _hits(index: np.ndarray):
 def _regress(columns: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, ridge: float) -> tuple:
     """Newton steps, each solved by conjugate gradients; returns scaled weights and bias."""
     at = np.concatenate(columns) if columns else np.zeros(0, np.int32)
-    row = np.repeat(np.arange(len(columns)), [len(c) for c in columns])
-    value, width = ratio[at], len(ratio)
+    row = np.repeat(np.arange(len(columns), dtype=np.int32), [len(c) for c in columns])
+    value, width = ratio.astype(np.float32)[at], len(ratio)
     ahead = lambda w: np.bincount(row, value * w[at], len(y)) + w[-1]
     back = lambda g: np.append(np.bincount(at, value * g[row], width), g.sum())
     pull = np.append(np.full(width, ridge), 0.0)
