@@ -17,23 +17,27 @@ are alike); an empty table gives no pieces; further columns can be carried by th
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from utterlab.llm.registry import query
 from utterlab.llm.shared import written
+from utterlab.llm.words import bounds, hash_spans
+from utterlab.llm.words import pieces as slices
 from utterlab.operators.scan import ranked
 
 CAPACITY = 2048
 END_ID = 1
 _CACHE_WORDS = 500_000
+_SLICE = 1 << 19
 
 
 # --- tokens ------------------------------------------------------------------------------
@@ -43,7 +47,9 @@ class WordTokens:
     """Ids of a tokenizer that drops white space, looked up per distinct word.
 
     White space separates tokens in such a tokenizer, so the ids of a text are those of its
-    words in turn. Words are encoded once per process and kept in flat arrays.
+    words in turn, and after a word of ASCII letters trailing punctuation starts a token of
+    its own. Words are told apart by 64-bit hashes (``utterlab.llm.words``), encoded once
+    per process, and kept in flat arrays.
     """
 
     def __init__(self, path: str):
@@ -53,12 +59,12 @@ class WordTokens:
         self._clear()
 
     def _clear(self) -> None:
-        self.at: dict[str, int] = {}
+        self.keys, self.where = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.ids = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 16, np.int64)
         self.used, self.count = 0, 0
 
-    def _add(self, found: list[list[int]]) -> None:
+    def _add(self, keys: np.ndarray, found: list[list[int]]) -> None:
         sizes = np.array([len(x) for x in found], np.int64)
         flat = np.array([i for x in found for i in x], np.uint32)
         while self.used + len(flat) > len(self.ids):
@@ -66,72 +72,81 @@ class WordTokens:
         while self.count + len(sizes) + 1 > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
         self.ids[self.used : self.used + len(flat)] = flat
-        ends = self.used + np.cumsum(sizes)
-        self.starts[self.count + 1 : self.count + 1 + len(sizes)] = ends
+        self.starts[self.count + 1 : self.count + 1 + len(sizes)] = self.used + np.cumsum(sizes)
+        at = np.searchsorted(self.keys, keys)
+        self.where = np.insert(self.where, at, self.count + np.arange(len(keys)))
+        self.keys = np.insert(self.keys, at, keys)
         self.used, self.count = self.used + len(flat), self.count + len(sizes)
 
-    def _encode(self, words: list[str]) -> list[list[int]]:
-        tokenize, plain = self.tokenizer.model.tokenize, []
-        rest = [w for w in words if not (w.isascii() and w.isalpha())]
+    def _encode(self, units: list[str]) -> list[list[int]]:
+        tokenize, out = self.tokenizer.model.tokenize, []
+        plain = [u.isascii() and u.isalpha() for u in units]
+        rest = [u for u, p in zip(units, plain, strict=True) if not p]
         hard = iter(self.tokenizer.encode_batch(rest, add_special_tokens=False) if rest else [])
-        for w in words:
+        for unit, p in zip(units, plain, strict=True):
             # ASCII letters pass the normaliser and the splitter as one lower-case piece
-            if w.isascii() and w.isalpha():
-                plain.append([t.id for t in tokenize(w)])
-            else:
-                plain.append(next(hard).ids)
-        return plain
-
-    def lookup(self, words: list[str]) -> np.ndarray:
-        """Index of each word in ``starts``."""
+            out.append([t.id for t in tokenize(unit.lower())] if p else next(hard).ids)
+        return out
+
+    def lookup(self, keys: np.ndarray, unit: Callable[[int], str]) -> np.ndarray:
+        """Place of each distinct (sorted) key in ``starts``; ``unit`` gives its text."""
         if self.count > _CACHE_WORDS:
             self._clear()
-        missing = list(dict.fromkeys(w for w in words if w not in self.at))
-        if missing:
-            self.at.update(zip(missing, range(self.count, self.count + len(missing)), strict=True))
-            self._add(self._encode(missing))
-        return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+        if len(self.keys):
+            near = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            missing = np.flatnonzero(self.keys[near] != keys)
+        else:
+            missing = np.arange(len(keys))
+        if len(missing):
+            self._add(keys[missing], self._encode([unit(i) for i in missing.tolist()]))
+        return self.where[np.searchsorted(self.keys, keys)]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of each text in them)."""
-        lists = pc.split_pattern(pc.fill_null(texts.cast(pa.large_string()), ""), " ")
-        coded = lists.values.dictionary_encode()
-        heads, tails, both = _halves(coded.dictionary.to_pylist())
-        index = self.lookup(both)
-        sizes = np.diff(self.starts[: self.count + 1])
-        head, tail = index[heads], index[tails]
-        # ids of every distinct word (head and tail) side by side
-        length = sizes[head] + sizes[tail]
-        word_at = np.concatenate(([0], np.cumsum(length)))
-        flat = self.ids[_spans(np.stack([self.starts[head], self.starts[tail]], 1).ravel(),
-                               np.stack([sizes[head], sizes[tail]], 1).ravel())]
-        codes = coded.indices.to_numpy()
-        per_word = length[codes]
-        ids = flat[_spans(word_at[codes], per_word)]
-        offsets = np.frombuffer(lists.buffers()[1], np.int32 if pa.types.is_list(lists.type) else np.int64)
-        offsets = offsets[lists.offset : lists.offset + len(lists) + 1]
-        upto = np.concatenate(([0], np.cumsum(per_word)))
-        return ids, upto[offsets]
-
-
-_TAIL = ".,!?;:%&$*#"
-
-
-def _halves(values: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Splits trailing punctuation off words of ASCII letters, where a token always ends.
-
-    Returns, for each value, where its word and its punctuation stand in the last list.
+        data, offsets, starts, ends, first = bounds(texts)
+        starts, ends, first, folded = _units(data, starts, ends, first)
+        h = np.where(
+            folded, hash_spans(data, starts, ends, True), ~hash_spans(data, starts, ends, False)
+        )
+        keys, example, inverse = np.unique(h, return_index=True, return_inverse=True)
+
+        def unit(i: int) -> str:
+            k = example[i]
+            return data[starts[k] : ends[k]].tobytes().decode("utf-8", "surrogatepass")
+
+        at = self.lookup(keys, unit)[inverse]
+        sizes = self.starts[at + 1] - self.starts[at]
+        upto = np.concatenate(([0], np.cumsum(sizes)))
+        return self.ids[_spans(self.starts[at], sizes)], upto[first]
+
+
+_TAIL = np.zeros(256, bool)
+_TAIL[list(b".,!?;:%&$*#")] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+
+
+def _units(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple:
+    """Splits trailing punctuation off words of ASCII letters, whose case does not count.
+
+    Returns starts, ends, the bounds of each text, and whether case is to be folded.
     """
-    both: dict[str, int] = {"": 0}
-    heads, tails = np.zeros(len(values), np.int64), np.zeros(len(values), np.int64)
-    for i, w in enumerate(values):
-        head = w.rstrip(_TAIL)
-        if head.isascii() and head.isalpha():
-            heads[i] = both.setdefault(head.lower(), len(both))
-            tails[i] = both.setdefault(w[len(head) :], len(both))
-        else:
-            heads[i] = both.setdefault(w, len(both))
-    return heads, tails, list(both)
+    if not len(starts):
+        return starts, ends, first, np.zeros(0, bool)
+    last = np.maximum.accumulate(np.where(_TAIL[data], -1, np.arange(len(data))))
+    heads = np.maximum(last[ends - 1] + 1, starts)
+    other = np.concatenate(([0], np.cumsum(~_LETTER[data])))
+    plain = (heads > starts) & (other[heads] == other[starts])
+    split = plain & (heads < ends)
+    place = np.arange(len(starts)) + np.concatenate(([0], np.cumsum(split)[:-1]))
+    n = len(starts) + int(split.sum())
+    out_start, out_end, folded = np.empty(n, np.int64), np.empty(n, np.int64), np.zeros(n, bool)
+    out_start[place], out_end[place] = starts, np.where(split, heads, ends)
+    folded[place] = plain
+    tail = place[split] + 1
+    out_start[tail], out_end[tail] = heads[split], ends[split]
+    moved = np.concatenate((place, [n]))
+    return out_start, out_end, moved[first], folded
 
 
 def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -142,6 +157,13 @@ def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1]) + np.repeat(starts - (ends - sizes), sizes)
 
 
+def _give_back() -> None:
+    """Returns freed memory to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 _TOKENS: dict[str, WordTokens] = {}
 
 
@@ -165,11 +187,9 @@ def tokenised_pieces(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from utterlab.llm.words import pieces
-
         coder = _tokens(tokenizer)
         for batch in batches:
-            for part in pieces(batch, "__text", 8 << 20):
+            for part in slices(batch, "__text", _SLICE):
                 ids, at = coder.encode(part.column("__text"))
                 counts = np.diff(at) + 1
                 ids = np.insert(ids, at[1:], end_id).astype("<u4")
@@ -195,6 +215,7 @@ def tokenised_pieces(
                     ],
                     [id_col, "start", "length", "ids", "doc_tokens"],
                 )
+            _give_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("__id"), F.col(text).alias("__text")).mapInArrow(

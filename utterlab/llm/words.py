@@ -82,7 +82,8 @@ def pieces(batch: pa.RecordBatch, text: str, limit: int = 2 << 20) -> Iterator[p
         begin = end
 
 
-def words(column: pa.Array, lower: bool = True) -> Words:
+def bounds(column: pa.Array) -> tuple[np.ndarray, ...]:
+    """(bytes, text offsets, word starts, word ends, first word of each text)."""
     data, offsets = texts(column)
     space = _SPACES[data]
     edge = np.zeros(len(data) + 1, bool)
@@ -91,11 +92,18 @@ def words(column: pa.Array, lower: bool = True) -> Words:
     after = np.concatenate((space[1:], [True])) if len(data) else space
     starts = np.flatnonzero(~space & (before | edge[:-1]))
     ends = np.flatnonzero(~space & (after | edge[1:])) + 1
-    first = np.searchsorted(starts, offsets)
-    return Words(data, offsets, starts, ends, first, _hash(data, starts, ends, lower))
+    return data, offsets, starts, ends, np.searchsorted(starts, offsets)
+
+
+def words(column: pa.Array, lower: bool = True) -> Words:
+    data, offsets, starts, ends, first = bounds(column)
+    return Words(data, offsets, starts, ends, first, hash_spans(data, starts, ends, lower))
 
 
-def _hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
+def hash_spans(
+    data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool
+) -> np.ndarray:
+    """Hashes of non-empty spans in ascending order; ``lower`` folds A-Z."""
     table, out, a = (_BYTE_LOWER if lower else _BYTE), np.empty(len(starts), np.uint64), 0
     while a < len(starts):
         base = starts[a]
