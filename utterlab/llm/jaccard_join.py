@@ -3,8 +3,9 @@
 1. Documents of equal shingle sets form a class; everything below is about classes.
 2. A class lies in the buckets of its prefix: the first n - ceil(0.8 n) + 1 shingles in one
    global order, rare ones first. Two sets of similarity 0.8 share a prefix shingle.
-3. Within a bucket, neighbours by size are compared first. They are exact links, and they
-   join groups of near copies into few components without touching all pairs of a group.
+3. Within a bucket, sorted by the share of uncommon shingles, each class is compared with
+   the one before and the first. What links is exact, and it joins a group of near copies
+   into few components without touching all pairs of the group.
 4. Buckets that still hold several components go to signature trees. A leaf is a class with
    its bitmap of shingles, a node has the OR of its bitmaps and its range of sizes. A dual
    traversal drops a pair of nodes if sizes, components or the largest possible overlap
@@ -39,7 +40,7 @@ from utterlab.llm.words import U64, pieces, shingle_sets, words
 SHINGLE = 5
 _COUNTER_BITS = 18
 _HOT = 200_000
-_BLOCK = 20_000
+_BLOCK = 5_000
 _FAN = 8
 
 
@@ -64,8 +65,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, l
 
 
 def _bitmap(shingles: np.ndarray) -> bytes:
-    """About two bits per shingle, a power of two of at least 256."""
-    width = max(256, 1 << int(2 * len(shingles) - 1).bit_length())
+    """Four bits or more per shingle, a power of two of at least 256."""
+    width = max(256, 1 << int(4 * len(shingles) - 1).bit_length())
     bits = np.zeros(width, np.uint8)
     bits[shingles & U64(width - 1)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -132,11 +133,12 @@ def _prefixes(counters: np.ndarray):
     excess = np.maximum(0, counters - 2 * int(counters.mean()))
     parts = (1 + excess // _HOT).astype(np.int64)
     rank = np.minimum(counters, 2**31 - 1).astype(np.int64)
+    common = counters > counters.mean() + 6 * np.sqrt(counters.mean())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for _, sets in _sets(batches):
-            out: list[list[np.ndarray]] = [[], [], [], []]
+            out: list[list[np.ndarray]] = [[], [], [], [], []]
             for s in sets:
                 name = _class_of(s) if len(s) else None
                 if name is None or name in seen:  # copies within a task end here
@@ -149,43 +151,52 @@ def _prefixes(counters: np.ndarray):
                 first = np.argsort(rank[cell], kind="stable")[:take]  # ties by hash
                 split = parts[cell[first]]
                 salt = np.where(split > 1, abs(name) % split, -1)
-                for column, value in zip(
-                    out, (s[first].view(np.int64), salt, np.full(take, name), np.full(take, len(s))),
-                    strict=True,
-                ):
+                rest = int(1000 * (~common[cell]).mean())
+                fixed = (np.full(take, x) for x in (rest, len(s), name))
+                for column, value in zip(out, (s[first].view(np.int64), salt, *fixed), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(c) if c else [], pa.int64()) for c in out],
-                ["token", "salt", "class", "n"],
+                ["token", "salt", "rest", "n", "class"],
             )
 
     return run
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of buckets with several classes, with the class before in the sorted bucket.
+    """Rows of buckets with several classes, with the class before and the first class.
 
-    Reads (token, salt, class, n) sorted by token, salt, n, class; holds one row back.
+    Reads (token, salt, rest, n, class) in this order; holds one row back. ``rest`` is the
+    share of uncommon shingles, so the first class of a group of near copies is the one
+    with the fewest edits, which links with every class that links at all, as a rule.
     """
     held: np.ndarray | None = None
     before: np.ndarray | None = None
+    top: np.ndarray | None = None
 
     def emit(rows: np.ndarray, after: np.ndarray | None) -> pa.RecordBatch:
-        nonlocal before
+        nonlocal before, top
         same = (rows[1:, :2] == rows[:-1, :2]).all(axis=1)
-        head = before is not None and bool((rows[0, :2] == before[:2]).all())
+        joins = before is not None and bool((rows[0, :2] == before[:2]).all())
         tail = after is not None and bool((rows[-1, :2] == after[:2]).all())
-        down, up = np.append(head, same), np.append(same, tail)
+        down, up = np.append(joins, same), np.append(same, tail)
         keep = down | up | (rows[:, 1] >= 0)
-        prev = np.concatenate(([before[2] if head else 0], rows[:-1, 2]))
-        near = np.concatenate(([before[3] if head else 0], rows[:-1, 3]))
-        down &= 5 * near >= 4 * rows[:, 3]  # sorted by size
-        before = rows[-1]
-        rows, prev, down = rows[keep], prev[keep], down[keep]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(rows[:, i]) for i in (0, 2, 3)] + [pa.array(prev, pa.int64(), mask=~down)],
-            ["token", "class", "n", "prev"],
-        )
+        prev = np.concatenate(([before if joins else rows[0]], rows[:-1]))
+        # the first row of each bucket; the bucket at hand may have begun earlier
+        begin = np.where(down, 0, np.arange(len(rows)))
+        first = rows[np.maximum.accumulate(begin)]
+        if joins:
+            first[: len(rows) if down.all() else int(np.argmin(down))] = top
+        before, top = rows[-1], first[-1]
+
+        def near(other: np.ndarray) -> np.ndarray:
+            low, high = np.minimum(other[:, 3], rows[:, 3]), np.maximum(other[:, 3], rows[:, 3])
+            return down & (5 * low >= 4 * high)
+
+        columns = [pa.array(rows[keep, i]) for i in (0, 4, 3)]
+        for other in (prev, first):
+            columns.append(pa.array(other[keep, 4], pa.int64(), mask=~near(other)[keep]))
+        return pa.RecordBatch.from_arrays(columns, ["token", "class", "n", "prev", "first"])
 
     for batch in batches:
         new = np.stack([c.to_numpy() for c in batch.columns], axis=1).astype(np.int64)
@@ -206,7 +217,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verify(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """The (a, b) pairs of classes that link, by their whole sets."""
     pairs = written(pairs, "candidates")
-    names = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    names = pairs.select(F.col("a").alias("class")).unionAll(pairs.select("b")).distinct()
     bits = member_filter(names)
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,17 +351,18 @@ def candidates(root: Node, crossing: bool) -> Iterator[tuple[int, int]]:
 
 def _traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidate pairs of (token, low, high, block, class, n, group, bitmap) rows, sorted."""
-    seen: set[tuple[int, int]] = set()
+    seen: set[int] = set()
     out: list[tuple[int, int]] = []
     key, leaves = None, []
 
     def close() -> None:
         if len(leaves) > 1:
             for pair in candidates(tree(leaves), key[1] != key[2]):
-                if pair not in seen:
-                    if len(seen) > 2_000_000:
+                name = pair[0] << 64 ^ pair[1]
+                if name not in seen:
+                    if len(seen) > 1_000_000:
                         seen.clear()
-                    seen.add(pair)
+                    seen.add(name)
                     out.append(pair)
 
     def drain() -> pa.RecordBatch:
@@ -372,17 +384,26 @@ def _traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield drain()
 
 
-def _tree_pairs(buckets: DataFrame, groups: DataFrame, classes: DataFrame) -> DataFrame:
+def _tree_pairs(buckets: DataFrame, groups: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """Candidates between components that meet in a bucket."""
     tagged = (
         buckets.join(groups, buckets["class"] == groups["node"], "left")
         .select("token", "class", "n", F.coalesce("component", "class").alias("group"))
     )
+    # Shingles of one shared passage fill the same bucket many times: one of them is enough.
     mixed = (
         tagged.groupBy("token")
-        .agg(F.min("group").alias("g1"), F.max("group").alias("g2"), F.count(F.lit(1)).alias("c"))
+        .agg(
+            F.min("group").alias("g1"),
+            F.max("group").alias("g2"),
+            F.count(F.lit(1)).alias("c"),
+            F.bit_xor(F.xxhash64("class")).alias("m1"),
+            F.bit_xor(F.xxhash64("class", F.lit(1))).alias("m2"),
+        )
         .where("g1 <> g2")
-        .select("token", F.ceil(F.col("c") / _BLOCK).cast("long").alias("blocks"))
+        .groupBy("c", "m1", "m2")
+        .agg(F.min("token").alias("token"), F.min("g1").alias("family"))
+        .select("token", "family", F.ceil(F.col("c") / _BLOCK).cast("long").alias("blocks"))
     )
     block = F.pmod(F.xxhash64("class"), F.col("blocks"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
@@ -392,15 +413,18 @@ def _tree_pairs(buckets: DataFrame, groups: DataFrame, classes: DataFrame) -> Da
         .withColumn("other", other)
         .select(
             "token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-            "block", "class", "n", "group",
+            "block", "class", "n", "group", "family",
         )
-        .join(classes.select("class", "bitmap"), "class")
-        .select("token", "low", "high", "block", "class", "n", "group", "bitmap")
+        .join(bitmaps, "class")
+        .select("token", "low", "high", "block", "class", "n", "group", "bitmap", "family")
     )
     parts = int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Buckets with the same smallest component hold much the same classes: one task sees
+    # them all and gives each pair once.
     return (
-        rows.repartition(parts, "token", "low", "high")
-        .sortWithinPartitions("token", "low", "high")
+        rows.repartition(parts, "family", "low", "high")
+        .sortWithinPartitions("family", "low", "high", "token")
+        .drop("family")
         .mapInArrow(_traverse, "a long, b long")
         .distinct()
     )
@@ -411,7 +435,7 @@ def _tree_pairs(buckets: DataFrame, groups: DataFrame, classes: DataFrame) -> Da
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_shingles, class, component_id) per document, components over document ids."""
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     described = written(
         texts.mapInArrow(_describe, "id long, n long, class long, bitmap binary"), "described"
@@ -419,29 +443,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     classes = written(
         described.where("class IS NOT NULL AND id IS NOT NULL")
         .groupBy("class")
-        .agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap")),
+        .agg(F.min("id").alias("first")),
         "classes",
     )
+    bitmaps = described.join(
+        classes.select("class", F.col("first").alias("id")), ["class", "id"]
+    ).select("class", "bitmap")
     prefixes = texts.where("id IS NOT NULL").mapInArrow(
-        _prefixes(_order(texts)), "token long, salt long, class long, n long"
+        _prefixes(_order(texts)), "token long, salt long, rest long, n long, class long"
     )
     buckets = written(
         prefixes.repartition(parts, "token", "salt")
-        .sortWithinPartitions("token", "salt", "n", "class")
-        .mapInArrow(_neighbours, "token long, class long, n long, prev long"),
+        .sortWithinPartitions("token", "salt", "rest", "n", "class")
+        .mapInArrow(_neighbours, "token long, class long, n long, prev long, first long"),
         "buckets",
     )
-    # neighbours that meet in a good part of their prefix; the rest is left to the trees
+    # pairs that meet in a good part of their prefix; the rest is left to the trees
+    met = F.explode(F.array_distinct(F.array("prev", "first"))).alias("other")
     near = (
-        buckets.where("prev IS NOT NULL")
-        .groupBy(F.least("class", "prev").alias("a"), F.greatest("class", "prev").alias("b"))
+        buckets.where("prev IS NOT NULL OR first IS NOT NULL")
+        .select("class", "n", met)
+        .where("other IS NOT NULL AND other <> class")
+        .groupBy(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b"))
         .agg(F.count(F.lit(1)).alias("met"), F.min("n").alias("n"))
-        .where("a <> b AND met >= greatest(1, n / 40)")
+        .where("met >= greatest(1, n / 40)")
         .select("a", "b")
     )
     close = _verify(texts, near)
     groups = components(close)
-    links = close.unionAll(_verify(texts, _tree_pairs(buckets, groups, classes)))
+    later = _verify(texts, _tree_pairs(buckets, groups, bitmaps))
+    stars = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    links = stars.unionAll(later)
     return _label(described, classes, links, id_col)
 
 
@@ -472,7 +504,7 @@ def _label(described: DataFrame, classes: DataFrame, links: DataFrame, id_col: s
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
         "class",
-        F.coalesce("component_id", "id").alias("component_id"),
+        F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"),
     )
 
 
