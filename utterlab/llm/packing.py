@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from utterlab.llm.registry import query
-from utterlab.llm.shared import written
+from utterlab.llm.shared import arrow_rows, written
 from utterlab.llm.words import bounds, hash_spans
 from utterlab.llm.words import pieces as slices
 from utterlab.operators.scan import ranked
@@ -187,7 +188,7 @@ def tokenised_pieces(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _tokens(tokenizer)
+        coder, turn = _tokens(tokenizer), itertools.count(1)
         for batch in batches:
             for part in slices(batch, "__text", _SLICE):
                 ids, at = coder.encode(part.column("__text"))
@@ -215,7 +216,8 @@ def tokenised_pieces(
                     ],
                     [id_col, "start", "length", "ids", "doc_tokens"],
                 )
-            _give_back()
+            if next(turn) % 16 == 0:
+                _give_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("__id"), F.col(text).alias("__text")).mapInArrow(
@@ -331,10 +333,11 @@ def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pack_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """Digest of the pieces (CRC of their ids) and their places."""
     pieces = tokenised_pieces(docs, tokenizer or default_tokenizer())
-    digests = written(
-        pieces.select(
-            "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"
-        ),
-        "pieces",
-    )
+    with arrow_rows(docs.sparkSession, 500):
+        digests = written(
+            pieces.select(
+                "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"
+            ),
+            "pieces",
+        )
     return pack(digests, ["doc_id", "start", "ids_crc32"])
