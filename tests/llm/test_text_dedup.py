@@ -155,6 +155,30 @@ def test_passages_repeat_across_documents(make):
         assert abs(len(p & q) / len(p | q) - r.similarity) < 1e-9
 
 
+def test_edited_passages_are_found_like_brute_force():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    fresh = lambda n: rng.integers(1, 2**63, n).astype(np.uint64)
+    grams = lambda w: {tuple(w[i : i + 5].tolist()) for i in range(len(w) - 4)}
+    similar = 0
+    for size in range(50, 121):
+        for edits in ([size // 2], [], *(rng.choice(size, k, replace=False) for k in (1, 2, 3))):
+            core = fresh(size)
+            edited = core.copy()
+            edited[edits] = fresh(len(edits))
+            x, y = (np.concatenate([fresh(rng.integers(60)), w, fresh(rng.integers(60))]) for w in (core, edited))
+            p, q = grams(core), grams(edited)
+            rows = sd.passages(x, y, 50, 0.8)
+            if len(p & q) >= 0.8 * len(p | q):
+                similar += 1
+                assert rows, (size, edits)
+            for a, n, b, m, share in rows:
+                p, q = grams(x[a : a + n]), grams(y[b : b + m])
+                assert min(n, m) >= 50 and share >= 0.8 and abs(share - len(p & q) / len(p | q)) < 1e-9
+    assert similar > 200
+
+
 def test_compact_windows_are_the_cartesian_tree():
     import numpy as np
 

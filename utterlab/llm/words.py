@@ -152,3 +152,15 @@ def shingle_sets(w: Words, size: int = 5) -> list[np.ndarray]:
         else:
             out.append(np.zeros(0, np.uint64))
     return out
+
+
+def longest(run: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[int, int]:
+    """(start, end) of the longest stretch with run[end] >= run[start]; (0, 0) if none."""
+    if not len(starts) or not len(ends):
+        return 0, 0
+    floor = np.minimum.accumulate(run[starts])
+    at = np.searchsorted(-floor, -run[ends] - 1e-9)
+    start = starts[np.minimum(at, len(starts) - 1)]
+    size = np.where(at < len(starts), ends - start, 0)
+    i = int(np.argmax(size))
+    return (int(start[i]), int(ends[i])) if size[i] > 0 else (0, 0)
