@@ -108,6 +108,42 @@ def test_decontamination_tolerates_substitutions(make, spark):
     assert decontamination.find_overlaps(docs.where("false"), tests).count() == 0
 
 
+def test_overlaps_take_any_stretch_of_enough_equal_words():
+    import itertools
+
+    import pyarrow as pa
+
+    from utterlab.llm.words import words
+
+    def brute(item: list[str], text: list[str]) -> bool:
+        least = min(13, len(item))
+        for shift in range(-len(item), len(text)):
+            same = [0 <= i + shift < len(text) and item[i] == text[i + shift] for i in range(len(item))]
+            low, high = max(0, -shift), min(len(item), len(text) - shift)
+            for a, b in itertools.combinations(range(low, high + 1), 2):
+                if b - a >= least and 10 * sum(same[a:b]) >= 8 * (b - a):
+                    return True
+        return False
+
+    rng, found, wanted = random.Random(21), 0, 0
+    for n, k in [(13, 1), (13, 2), (16, 2), (16, 3), (20, 3), (20, 5), (39, 7), (9, 1)] * 12:
+        item = prose(rng.randrange(10**6), n)
+        passage = list(item)
+        for i in rng.sample(range(n), k):
+            passage[i] = "changed"
+        text = [*prose(rng.randrange(10**6), rng.randint(0, 30)), *passage, *prose(rng.randrange(10**6), rng.randint(0, 30))]
+        index = decontamination.SeedIndex(pa.array([" ".join(item)]))
+        said = words(pa.array([" ".join(text)]))
+        rows = list(index.overlaps(said, 13, 0.8))
+        if len(index.diagonals(said)):  # the seeds only propose
+            wanted += brute(item, text)
+            assert bool(rows) == brute(item, text), (n, k)
+            found += len(rows)
+        for _, _, first, size, equal in rows:
+            assert size >= min(13, n) and equal >= 0.8 * size and first + size <= len(text)
+    assert found == wanted >= 60
+
+
 # --- packing -------------------------------------------------------------------------------
 
 

@@ -3,8 +3,9 @@
 A spaced seed hashes the words at the set places of a fixed mask and ignores the others,
 so a substitution under a free place does not hide a match. Seeds of test and training
 texts are joined by hash; around every hit both texts are compared word by word on the
-same diagonal, and the best-scoring stretch decides: at least ``min_words`` words (or the
-whole item, if shorter), of which at least ``min_share`` are equal.
+same diagonal, and any stretch counts that holds at least ``min_words`` words (or the whole
+item, if shorter), of which at least ``min_share`` are equal. Of the longest stretch and the
+best-scoring one the one with more equal words is reported.
 
 The test set is the stated query set. It is cut into blocks of about ``block_bytes`` of
 text, and each block's index goes to every task, so memory has a bound at any size of the
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from utterlab.llm.registry import query
-from utterlab.llm.words import U64, Words, mix, pieces, words
+from utterlab.llm.words import U64, Words, longest, mix, pieces, words
 
 MASKS = (
     (0, 1, 2, 4, 5, 7),
@@ -52,6 +53,20 @@ def _seeds(w: Words, mask: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
     return mix(h[inside]), inside
 
 
+def _stretches(same: np.ndarray, lose: float, least: int) -> list[tuple[int, int]]:
+    """Stretches of at least ``least`` words with surplus: the longest that starts and ends
+    with an equal word, the best-scoring one, or else the longest at all."""
+    if len(same) < least:
+        return []
+    run = np.concatenate(([0.0], np.cumsum(np.where(same, 1.0, -lose))))
+    match, every = np.flatnonzero(same), np.arange(len(run))
+    lowest = np.minimum.accumulate(run)
+    end = int(np.argmax(run - lowest))
+    start = int(np.flatnonzero(run[: end + 1] == lowest[end])[-1])
+    tests = [t for t in (longest(run, match, match + 1), (start, end)) if t[1] - t[0] >= least]
+    return tests or [t for t in [longest(run, every, every)] if t[1] - t[0] >= least]
+
+
 class SeedIndex:
     """Sorted seeds of one block of test texts."""
 
@@ -99,13 +114,9 @@ class SeedIndex:
             low = max(a, w.first[doc] - shift)
             high = min(b, w.first[doc + 1] - shift)
             same = self.words.hashes[low:high] == w.hashes[low + shift : high + shift]
-            run = np.concatenate(([0.0], np.cumsum(np.where(same, 1.0, -lose))))
-            lowest = np.minimum.accumulate(run)
-            end = int(np.argmax(run - lowest))
-            start = int(np.flatnonzero(run[: end + 1] == lowest[end])[-1])
-            n, equal = end - start, int(same[start:end].sum())
-            if n and n >= min(min_words, b - a) * min_share and equal >= min_share * min(min_words, b - a):
-                if equal >= min_share * n:
+            for start, end in _stretches(same, lose, min(min_words, b - a)):
+                equal, n = int(same[start:end].sum()), end - start
+                if equal >= min_share * n - 1e-9:
                     first = int(low + start + shift - w.first[doc])
                     key, value = (int(doc), int(item)), (equal, -first, n)
                     best[key] = max(best.get(key, value), value)
