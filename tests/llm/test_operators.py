@@ -302,6 +302,23 @@ def test_pii_base_equals_brute_force(make):
     assert len(rows) == len(texts)
 
 
+def test_pii_base_finds_numbers_in_short_groups(make):
+    rng, texts = random.Random(12), ["+33 6 12 34 56 78", "378 282 246 310 005", "call (123) 456-7890 now"]
+    digits = ["4111111111111111", "378282246310005", "4111111111111112", "33612345678"]
+    for i in range(200):
+        number, said = rng.choice(digits), ""
+        while number:
+            size = rng.randint(1, 3)
+            said, number = said + number[:size] + rng.choice([" ", "-", ""]) * bool(number[size:]), number[size:]
+        texts.append("word " * (i % 3) + "+" * rng.randint(0, 1) + said + " end" * (i % 2))
+    found = pii.spans_of(make(texts)).select("doc_id", "candidates", pii.written_spans(F.col("base")).alias("b"))
+    rows = {r.doc_id: r for r in found.collect()}
+    for i, text in enumerate(texts):
+        assert rows[i].b == ",".join(f"{kind}:{a}:{e}" for a, _, e, kind in brute_spans(text)), text
+    assert rows[0].b == "phone:0:17" and rows[1].b == "card:0:19"
+    assert [(c.start, c.end) for c in rows[2].candidates] == [(5, 19)]
+
+
 def test_pii_model_adds_what_the_base_swallows(make):
     rng, texts = random.Random(3), []
     for i in range(400):

@@ -89,7 +89,8 @@ VALID: dict[str, Callable[[Column], Column]] = {
     "card": lambda m: _between(m, 14, 19) & luhn(_digits(m)),
     "phone": lambda m: _between(m, 10, 15),
 }
-_TRIGGER = {"email": r"@|(?i)[(\[]at[)\]]", "ip": r"[0-9]\.[0-9]", "card": "[0-9]{4}", "phone": "[0-9]{3}"}
+#: Implied by every base pattern and generator of a kind.
+_TRIGGER = {"email": r"@|(?i)[(\[]at[)\]]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]|\([0-9]{3}\)"}
 
 
 def _before(lengths: Column, i: Column) -> Column:
