@@ -155,6 +155,16 @@ def test_passages_repeat_across_documents(make):
         assert abs(len(p & q) / len(p | q) - r.similarity) < 1e-9
 
 
+def test_exact_repeats_among_variants_of_a_frame(make):
+    rng, frame = random.Random(2), prose(77, 33)
+    variants = [prose(3000 + v, 17) for v in range(40)]
+    order = [v for _ in range(3) for v in rng.sample(range(40), 40)]
+    texts = [" ".join([*prose(4000 + i, 9), *frame, *variants[v], *prose(5000 + i, 9)]) for i, v in enumerate(order)]
+    texts += ["same " * 900, " ".join(prose(1, 20) * 40)]
+    rows = sd.repeated_passages(make(texts).repartition(4)).collect()
+    assert {r.a for r in rows if r.a < 120 and order[r.a] == order[r.b]} == set(range(40, 120))
+
+
 def test_edited_passages_are_found_like_brute_force():
     import numpy as np
 

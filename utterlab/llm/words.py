@@ -23,17 +23,18 @@ _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | U64(1)
 _BYTE_LOWER = _BYTE.copy()
 _BYTE_LOWER[65:91] = _BYTE[97:123]
-_P = U64(0x9E3779B97F4A7C15)
+PRIME = U64(0x9E3779B97F4A7C15)
+INVERSE = U64(pow(int(PRIME), -1, 2**64))
 
 
-def _powers(p: np.uint64, n: int) -> np.ndarray:
+def powers(p: np.uint64, n: int) -> np.ndarray:
     out = np.full(n, p, np.uint64)
     out[0] = 1
     return np.multiply.accumulate(out)
 
 
-_POW = _powers(_P, _CHUNK)
-_INV = _powers(U64(pow(int(_P), -1, 2**64)), _CHUNK)
+_POW = powers(PRIME, _CHUNK)
+_INV = powers(INVERSE, _CHUNK)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -111,7 +112,7 @@ def hash_spans(
         n = ends[b - 1] - base
         power, inverse = (_POW, _INV)
         if n > _CHUNK:  # one word longer than a chunk
-            power, inverse = _powers(_P, n), _INV
+            power, inverse = powers(PRIME, n), _INV
         run = np.zeros(n + 1, np.uint64)
         np.cumsum(table[data[base : base + n]] * power[:n], out=run[1:])
         s = starts[a:b] - base
