@@ -49,6 +49,13 @@ def test_toxicity_on_held_out_rows(spark):
     assert right >= 97
 
 
+def test_toxicity_keeps_the_whole_feature_budget(spark):
+    rows = [(i, " ".join(prose(i, 60)), i % 2) for i in range(120)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    assert len(toxicity.fit(docs, labels, "toxic", min_docs=1).index) == 8_192
+
+
 def test_toxicity_edge_cases(make, spark):
     labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, toxic int")
     docs = make(["bad bad", "good", None, "", "x " * 700_000])
