@@ -115,6 +115,17 @@ def test_decontamination_tolerates_substitutions(make, spark):
     assert decontamination.find_overlaps(docs.where("false"), tests).count() == 0
 
 
+def test_decontamination_holds_one_block_at_a_time(make, spark, monkeypatch):
+    tests = spark.createDataFrame([(i, " ".join(prose(i, 20))) for i in range(12)], "item_id long, text string")
+    docs, events = make([" ".join(prose(i, 20)) for i in range(6, 30)]), []
+    pack, write = decontamination._packed, decontamination.written
+    monkeypatch.setattr(decontamination, "_packed", lambda t: events.append("collected") or pack(t))
+    monkeypatch.setattr(decontamination, "written", lambda d, n: events.append("written") or write(d, n))
+    rows = decontamination.find_overlaps(docs, tests, block_bytes=400).collect()
+    assert {r.doc_id + 6 for r in rows} == {r.item_id for r in rows} == set(range(6, 12))
+    assert len(events) > 2 and events == (["collected", "written"] * len(events))[: len(events)]
+
+
 def test_overlaps_take_any_stretch_of_enough_equal_words():
     import itertools
 

@@ -9,7 +9,8 @@ best-scoring one the one with more equal words is reported.
 
 The test set is the stated query set. It is cut into blocks of about ``block_bytes`` of
 text, and each block's index goes to every task, so memory has a bound at any size of the
-test set and training texts are never shuffled: a further block is a further scan.
+test set and training texts are never shuffled: a further block is a further scan. What a
+block gave is written before the next is collected.
 
 Defined cases: words are lower-cased (A-Z); null or blank texts match nothing; an item
 shorter than a mask is one seed of all its words; repeated items or documents are reported
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from utterlab.llm.registry import query
+from utterlab.llm.shared import written
 from utterlab.llm.words import U64, Words, longest, mix, pieces, words
 
 MASKS = (
@@ -124,13 +126,15 @@ class SeedIndex:
             yield doc, item, -first, n, equal
 
 
-def blocks(tests: DataFrame, id_col: str, text: str, block_bytes: int) -> list[pa.Table]:
-    """The test set in blocks of about ``block_bytes`` of text each."""
+def blocks(tests: DataFrame, id_col: str, text: str, block_bytes: int) -> Iterator[tuple[pa.Table, bool]]:
+    """The test set in blocks of about ``block_bytes`` of text each, collected one by one,
+    and whether a further block follows."""
     wanted = tests.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     size = wanted.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     count = -(-size // block_bytes)
     block = F.pmod(F.xxhash64("id", "text"), F.lit(max(count, 1)))
-    return [wanted.where(block == i).toArrow() for i in range(count)]
+    for i in range(count):
+        yield wanted.where(block == i).toArrow(), i + 1 < count
 
 
 def _packed(table: pa.Table) -> bytes:
@@ -187,8 +191,9 @@ def find_overlaps(
 
     wanted = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"))
     out = None
-    for table in blocks(tests, item_id, text, block_bytes):
+    for table, more in blocks(tests, item_id, text, block_bytes):
         found = wanted.mapInArrow(scan(_packed(table)), schema)
+        found = written(found, "overlaps") if more else found
         out = found if out is None else out.unionAll(found)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
@@ -217,8 +222,9 @@ def decontaminate(
         return run
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    for table in blocks(tests, item_id, text, block_bytes):
+    for table, more in blocks(tests, item_id, text, block_bytes):
         docs = docs.mapInArrow(keep(_packed(table)), kinds)
+        docs = written(docs, "clean") if more else docs
     return docs
 
 
