@@ -8,7 +8,8 @@ binned, so the labelled candidates of the whole corpus collapse to counts per fe
 vector, at most ``MAX_VECTORS`` of them; trees are boosted on these counts. Half of the
 labels (by hash of the document id) calibrate: per kind, the lowest score whose precision
 on them stays above ``precision`` by an exact binomial bound is the threshold, and a kind
-too rare for any bound takes the pooled one. The model is a CASE expression.
+too rare for any bound takes the pooled one. The model is a CASE expression. As labels follow
+the kind's check, which is a feature and demanded of an addition too, the check alone selects.
 
 Defined cases: a null text is empty; matches that fail their check are dropped without a
 retry; positions count code points, end exclusive; a null id is kept; without labels of
