@@ -5,11 +5,14 @@ from __future__ import annotations
 from utterlab.llm import (  # noqa: F401
     chat_format,
     decontamination,
+    divergence,
     jaccard_join,
     line_dedup,
     packing,
     pii,
+    prefix_trie,
     quality,
+    simhash,
     substring_dedup,
     toxicity,
     warc,
