@@ -4,8 +4,8 @@ A feature is the presence of a hashed character n-gram in a lower-cased text. It
 Bayes log-count ratio r between the classes scales it, and a ridge logistic regression is
 fitted on the scaled features. The fit reads a bounded sample of labelled rows (``sample``,
 drawn by hash of the id, so the same rows at every partitioning) and keeps the ``features``
-n-grams that separate the classes best in it; all that reaches the driver is bounded by
-these two parameters. Scoring reads every text whole, in one pass without a shuffle.
+n-grams that separate the classes best in it. Counts are summed and ranked in tasks and the
+sample is fitted by one, so only the kept features and their weights reach the driver. Scoring reads every text whole, in one pass without a shuffle.
 
 Defined cases: a null text is empty; an empty text scores the intercept; without labelled
 rows of both classes the score is the smoothed rate of the labels seen, 0.5 if none; null
@@ -97,49 +97,78 @@ def fit(
     """Fits on (doc_id, text) joined with (doc_id, label)."""
     rows = _sample(docs, labels, label, sample).repartition(parts).persist()
     try:
-        counts = rows.mapInArrow(_count, "label int, docs long, counts binary").collect()
-        total, seen = np.zeros((2, 1 << BITS), np.int64), np.zeros(2)
-        for r in counts:
-            total[r.label] += np.frombuffer(r.counts, np.int32)
-            seen[r.label] += r.docs
+        seen = np.zeros(2)
+        for r in rows.groupBy("label").count().collect():
+            seen[r["label"]] = r["count"]
         if not seen.all():
             rate = (seen[1] + 1) / (seen.sum() + 2)
             return Model(np.zeros(0, np.uint32), np.zeros(0), float(np.log(rate / (1 - rate))))
-        index, ratio = _select(total, seen, features_kept, min_docs)
-        del counts, total
-        hits = rows.mapInArrow(_hits(index), "label int, hits binary").toArrow()
+        # counts are summed and ranked in tasks; the driver sees the features that are kept
+        ranked = (
+            rows.mapInArrow(_count, "slice int, counts binary")
+            .repartition(parts, "slice")
+            .mapInArrow(_select(seen, min_docs), "bucket int, score double, clean long, bad long")
+        )
+        all_slices = ranked.where("bucket < 0").agg(F.sum("clean"), F.sum("bad")).first()
+        best = ranked.where("bucket >= 0").orderBy(F.desc("score"), "bucket").limit(features_kept)
+        best = best.select("bucket", "clean", "bad").toPandas().sort_values("bucket")
+        index = best["bucket"].to_numpy().astype(np.uint32)
+        p, q = (best[c].to_numpy() + 1.0 for c in ("bad", "clean"))
+        clean_all, bad_all = (float(x) + (1 << BITS) for x in all_slices)
+        ratio = np.log((p / bad_all) / (q / clean_all))
+        # a sample of bounded size, fitted where it lies: weights alone come back
+        fitted = (
+            rows.mapInArrow(_hits(index), "label int, hits binary")
+            .coalesce(1)
+            .mapInArrow(_fit_rows(ratio, ridge), "weight binary, bias double")
+            .first()
+        )
     finally:
         rows.unpersist()
-    y = hits.column("label").to_numpy().astype(float)
-    columns = [np.frombuffer(x.as_buffer(), np.int32) for x in hits.column("hits")]
-    return Model(index, *_regress(columns, y, ratio, ridge))
+    return Model(index, np.frombuffer(fitted["weight"], np.float64), fitted["bias"])
+
+
+_SLICE = 14  # bits of a bucket within a slice of the count table
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of each class per bucket."""
-    total, seen = np.zeros((2, 1 << BITS), np.int32), [0, 0]
-    every = np.ones(1 << BITS, bool)
+    """Documents of each class per bucket, in slices of the table."""
+    total, every = np.zeros((2, 1 << BITS), np.int32), np.ones(1 << BITS, bool)
     for batch in batches:
         for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             total[label][features(text or "", every)] += 1
-            seen[label] += 1
-    arrays = [pa.array([0, 1], pa.int32()), pa.array(seen, pa.int64())]
-    arrays.append(pa.array([total[0].tobytes(), total[1].tobytes()], pa.binary()))
-    yield pa.RecordBatch.from_arrays(arrays, ["label", "docs", "counts"])
-
-
-def _select(total: np.ndarray, seen: np.ndarray, kept: int, min_docs: int) -> tuple:
-    """Buckets whose presence separates the classes best, and their log-count ratios."""
-    share = (total + 1) / (seen[:, None] + 2)
-    both = total.sum(axis=0)
-    rate = np.clip(both / seen.sum(), 1e-9, 1 - 1e-9)
-    score = (share[1] - share[0]) ** 2 / (rate * (1 - rate))
-    score[both < min_docs] = -1
-    order = np.argsort(-score, kind="stable")[:kept]
-    index = np.sort(order[score[order] > 0]).astype(np.uint32)
-    p, q = (total[c] + 1.0 for c in (1, 0))
-    ratio = np.log((p / p.sum()) / (q / q.sum()))[index]
-    return index, ratio
+    for i in range(1 << BITS - _SLICE):
+        part = total[:, i << _SLICE : (i + 1) << _SLICE].tobytes()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([i], pa.int32()), pa.array([part], pa.binary())], ["slice", "counts"]
+        )
+
+
+def _select(seen: np.ndarray, min_docs: int):
+    """Buckets whose presence separates the classes, with their score and counts; a row of
+    bucket -1 holds the sums of a slice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slices: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                counts = np.frombuffer(raw, np.int32).reshape(2, -1)
+                slices[i] = slices.get(i, 0) + counts.astype(np.int64)
+        for i, total in slices.items():
+            share = (total + 1) / (seen[:, None] + 2)
+            both = total.sum(axis=0)
+            rate = np.clip(both / seen.sum(), 1e-9, 1 - 1e-9)
+            score = (share[1] - share[0]) ** 2 / (rate * (1 - rate))
+            at = np.flatnonzero((both >= min_docs) & (score > 0))
+            columns = [np.append(-1, (i << _SLICE) + at), np.append(0.0, score[at])]
+            columns += [np.append(total[c].sum(), total[c][at]) for c in (0, 1)]
+            kinds = [pa.int32(), pa.float64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x, k) for x, k in zip(columns, kinds, strict=True)],
+                ["bucket", "score", "clean", "bad"],
+            )
+
+    return run
 
 
 def _hits(index: np.ndarray):
@@ -148,7 +177,7 @@ def _hits(index: np.ndarray):
         wanted[index] = True
         for batch in batches:
             found = [
-                np.searchsorted(index, features(t or "", wanted)).astype(np.int32).tobytes()
+                np.searchsorted(index, features(t or "", wanted)).astype(np.uint16).tobytes()
                 for t in batch.column(1).to_pylist()
             ]
             yield pa.RecordBatch.from_arrays(
@@ -158,13 +187,52 @@ def _hits(index: np.ndarray):
     return run
 
 
-def _regress(columns: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, ridge: float) -> tuple:
-    """Newton steps, each solved by conjugate gradients; returns scaled weights and bias."""
-    at = np.concatenate(columns) if columns else np.zeros(0, np.int32)
-    row = np.repeat(np.arange(len(columns), dtype=np.int32), [len(c) for c in columns])
-    value, width = ratio.astype(np.float32)[at], len(ratio)
-    ahead = lambda w: np.bincount(row, value * w[at], len(y)) + w[-1]
-    back = lambda g: np.append(np.bincount(at, value * g[row], width), g.sum())
+def _fit_rows(ratio: np.ndarray, ridge: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels, hits, sizes = [], [], []
+        for batch in batches:
+            labels.append(batch.column(0).to_numpy())
+            for x in batch.column(1):
+                hits.append(np.frombuffer(x.as_buffer(), np.uint16).copy())
+                sizes.append(len(hits[-1]))
+        y = np.concatenate(labels).astype(float) if labels else np.zeros(0)
+        # rows in an order of their own, so that the fit does not follow the tasks' order
+        order = sorted(range(len(y)), key=lambda i: (y[i], hits[i].tobytes()))
+        at = np.concatenate([hits[i] for i in order]) if hits else np.zeros(0, np.uint16)
+        row = np.repeat(np.arange(len(y), dtype=np.int32), [sizes[i] for i in order])
+        del hits
+        weight, bias = _regress(at, row, y[order], ratio, ridge)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([weight.tobytes()], pa.binary()), pa.array([bias])], ["weight", "bias"]
+        )
+
+    return run
+
+
+_STEP = 1 << 20
+
+
+def _regress(
+    at: np.ndarray, row: np.ndarray, y: np.ndarray, ratio: np.ndarray, ridge: float
+) -> tuple[np.ndarray, float]:
+    """Newton steps, each solved by conjugate gradients; returns scaled weights and bias.
+
+    Hits (feature, row) are visited in stretches, so temporary arrays stay small.
+    """
+    width, parts = len(ratio), range(0, len(at), _STEP)
+
+    def ahead(w: np.ndarray) -> np.ndarray:
+        scaled, out = ratio * w[:-1], np.full(len(y), w[-1])
+        for a in parts:
+            out += np.bincount(row[a : a + _STEP], scaled[at[a : a + _STEP]], len(y))
+        return out
+
+    def back(g: np.ndarray) -> np.ndarray:
+        out = np.zeros(width)
+        for a in parts:
+            out += np.bincount(at[a : a + _STEP], g[row[a : a + _STEP]], width)
+        return np.append(ratio * out, g.sum())
+
     pull = np.append(np.full(width, ridge), 0.0)
     w = np.zeros(width + 1)
     w[-1] = np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
