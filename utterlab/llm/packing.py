@@ -20,6 +20,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import itertools
+import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,7 +38,7 @@ from utterlab.operators.scan import ranked
 
 CAPACITY = 2048
 END_ID = 1
-_CACHE_WORDS = 500_000
+_CACHE_WORDS = 400_000
 _SLICE = 1 << 19
 
 
@@ -54,12 +55,15 @@ class WordTokens:
     """
 
     def __init__(self, path: str):
+        # threads of its own would keep memory of their own in every Python worker
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
+        """Forgets all words."""
         self.keys, self.where = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.ids = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 16, np.int64)
@@ -89,17 +93,17 @@ class WordTokens:
             out.append([t.id for t in tokenize(unit.lower())] if p else next(hard).ids)
         return out
 
-    def lookup(self, keys: np.ndarray, unit: Callable[[int], str]) -> np.ndarray:
-        """Place of each distinct (sorted) key in ``starts``; ``unit`` gives its text."""
+    def lookup(self, keys: np.ndarray, units: Callable[[np.ndarray], list[str]]) -> np.ndarray:
+        """Place of each distinct (sorted) key in ``starts``; ``units`` gives their texts."""
         if self.count > _CACHE_WORDS:
-            self._clear()
+            self.clear()
         if len(self.keys):
             near = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
             missing = np.flatnonzero(self.keys[near] != keys)
         else:
             missing = np.arange(len(keys))
         if len(missing):
-            self._add(keys[missing], self._encode([unit(i) for i in missing.tolist()]))
+            self._add(keys[missing], self._encode(units(missing)))
         return self.where[np.searchsorted(self.keys, keys)]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -111,11 +115,13 @@ class WordTokens:
         )
         keys, example, inverse = np.unique(h, return_index=True, return_inverse=True)
 
-        def unit(i: int) -> str:
-            k = example[i]
-            return data[starts[k] : ends[k]].tobytes().decode("utf-8", "surrogatepass")
+        raw, begin, end = data.tobytes(), starts[example], ends[example]
 
-        at = self.lookup(keys, unit)[inverse]
+        def units(which: np.ndarray) -> list[str]:
+            spans = zip(begin[which].tolist(), end[which].tolist(), strict=True)
+            return [raw[a:b].decode("utf-8", "surrogatepass") for a, b in spans]
+
+        at = self.lookup(keys, units)[inverse]
         sizes = self.starts[at + 1] - self.starts[at]
         upto = np.concatenate(([0], np.cumsum(sizes)))
         return self.ids[_spans(self.starts[at], sizes)], upto[first]
@@ -218,6 +224,9 @@ def tokenised_pieces(
                 )
             if next(turn) % 16 == 0:
                 _give_back()
+        # workers outlive their task: an idle one keeps the tokenizer alone
+        coder.clear()
+        _give_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("__id"), F.col(text).alias("__text")).mapInArrow(
