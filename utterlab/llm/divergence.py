@@ -42,7 +42,7 @@ from utterlab.operators.scan import first_k
 
 MIN_DOCS, TOP, SIDE = 3, 200, 64
 _CELLS = 1 << 20
-_BLOCK_ROWS = 1 << 20
+_BLOCK_ROWS = 1 << 18
 _PIECE = 4 << 20
 
 _LETTER = np.zeros(256, bool)
@@ -193,7 +193,7 @@ def _terms(kept: DataFrame, groups: DataFrame, top: int) -> DataFrame:
 def _pairs(kept: DataFrame, groups: DataFrame, side: int) -> DataFrame:
     widest = groups.groupBy("lang").count().agg(F.max("count")).first()[0] or 0
     source_blocks = -(-widest // side) if widest else 1
-    term_blocks = max(8, kept.count() // _BLOCK_ROWS + 1)
+    term_blocks = max(32, kept.count() // _BLOCK_ROWS + 1)
     mine = F.pmod(F.xxhash64("source"), F.lit(source_blocks)).cast("int").alias("mine")
     others = F.explode(F.sequence(F.lit(0), F.lit(source_blocks - 1))).alias("other")
     bounds = (F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
