@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from utterlab.llm.registry import query
+from utterlab.llm.shared import written
 
 SIZES = (3, 4, 5, 6)
 BITS = 20
@@ -104,10 +105,11 @@ def fit(
             rate = (seen[1] + 1) / (seen.sum() + 2)
             return Model(np.zeros(0, np.uint32), np.zeros(0), float(np.log(rate / (1 - rate))))
         # counts are summed and ranked in tasks; the driver sees the features that are kept
-        ranked = (
+        ranked = written(
             rows.mapInArrow(_count, "slice int, counts binary")
             .repartition(parts, "slice")
-            .mapInArrow(_select(seen, min_docs), "bucket int, score double, clean long, bad long")
+            .mapInArrow(_select(seen, min_docs), "bucket int, score double, clean long, bad long"),
+            "toxicity-features",
         )
         all_slices = ranked.where("bucket < 0").agg(F.sum("clean"), F.sum("bad")).first()
         best = ranked.where("bucket >= 0").orderBy(F.desc("score"), "bucket").limit(features_kept)
