@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import dataclasses
 import random
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -142,6 +143,27 @@ def test_piece_filter_loses_no_pair(spark, lexicon):
         assert got.get((i, text)) == want, text
 
 
+def test_window_keys_by_text_and_by_window(spark, lexicon):
+    """One pass over a text gives the keys that each window has on its own."""
+    values = [
+        "Check  my aadhaar card, Zick quicka!", " - आधार कार्ड  and ---  gst ", "a\tb c\nck d", "", "   ", "Éa aa bb-b\u00a0b cc",
+        "foob\tbar foob bar", None,
+    ]
+    df = spark.createDataFrame(list(enumerate(values)), "id int, text string")
+    for row in df.select("text", *[co._windows(F.col("text"), w).alias(f"w{w}") for w in (1, 3)]).collect():
+        for widest in (1, 3):
+            windows = [w.window for w in row[f"w{widest}"] or []]
+            keyed = spark.createDataFrame([(w,) for w in windows] or [("",)], "w string")
+            want = [r.k for r in keyed.select(co.sound_key(F.col("w")).alias("k")).collect()] if windows else []
+            if row.text is None or any(c in row.text for c in "\t\n"):
+                continue
+            got = df.limit(1).select(co._runs(co.word_keys(F.lit(unicodedata.normalize("NFC", row.text))), widest).alias("k")).first().k
+            assert got == want, row.text
+    glued = dataclasses.replace(lexicon, longest_words=2)
+    found = co.scored_windows(df, ["id"], "text", glued, 0.7).where("id IN (2, 6)").collect()
+    assert all(w.window in values[w.id] for w in found)
+
+
 def test_error_report(spark, lexicon):
     rows = [
         (1, "check my aadhaar card", "check my आधार कार्ड"),
