@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from utterlab.functions import text as tx
+from utterlab.functions.markdown import spoken, unemphasise
 from utterlab.functions.numbers import digit_strings, to_digit_text
 from utterlab.functions.pystr import argument_table
 
@@ -85,9 +86,35 @@ def test_markdown(spark):
         "see [docs](http://x) and `code`": "see docs and code",
         "***both*** _it_": "both it",
         "a   b\n\n\nc": "a b\nc",
+        "plain sentence, nothing to do.": "plain sentence, nothing to do.",
+        "### Small heading": "Small heading",
+        "1. first\n2) second\n3.third": "first\nsecond\n3.third",
+        "Hello **world**, this is *fun*.": "Hello world, this is fun.",
+        "2 * 3 * 4 and 5 ** 2": "2 * 3 * 4 and 5 ** 2",
+        "**_nested_** and _**too**_": "nested and too",
+        "*open\nclose*": "*open\nclose*",
+        "one ` tick, `two` ticks": "one tick, two` ticks",
+        "[no link] (x) [a](u) [b](": "[no link] (x) a [b](",
+        "[one [two](u)": "one [two",
+        "# - 3. all marks": "all marks",
+        "#\n\nbody": "body",
+        "a\tb \tc": "a\tb c",
+        "  \u2003 edges \x1c": "edges",
+        "": "",
     }
-    got = rows(spark, list(cases), tx.speakable(F.col("t")))
-    assert [g[0] for g in got] == list(cases.values())
+    got = rows(spark, [*cases, None], tx.speakable(F.col("t")))
+    assert [g[0] for g in got] == [*cases.values(), None]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.text("ab*_ \n", max_size=40))
+def test_emphasis_only_loses_marks_in_pairs(text):
+    line = text.replace("\n", "")
+    left = unemphasise(line)
+    assert [c for c in left if c not in "*_"] == [c for c in line if c not in "*_"]
+    for mark in "*_":
+        assert (line.count(mark) - left.count(mark)) % 2 == 0
+    assert spoken(spoken("x" + text)).count("\n\n") == 0
 
 
 def test_sentences(spark):

@@ -1,4 +1,5 @@
-"""Text column expressions. Everything here runs in the JVM except ``nfc``."""
+"""Text column expressions. Everything here runs in the JVM except ``nfc`` and
+``speakable``."""
 
 from __future__ import annotations
 
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
+from utterlab.functions.markdown import spoken
+
 # White space as the scorer sees it (a superset of the regex class \s).
 SPACE = r"\p{IsWhite_Space}\x1c-\x1f"
 # Letters, marks and numbers of any script, plus the joiners that glue words.
@@ -135,24 +138,21 @@ def dominant_script(text: Column) -> Column:
     return F.coalesce(best, F.when(text.rlike(r"\p{L}"), F.lit("other")).otherwise("none"))
 
 
-# Marks that may open a line, in the order in which they may follow each other.
-_LINE_MARKS = {"heading": r"#{1,6}[ \t]*", "bullet": r"[-*+][ \t]+", "number": r"\d+[.)][ \t]+"}
-_LINE_START = "(?m)^" + "".join(rf"(?:[ \t]*{mark})?+" for mark in _LINE_MARKS.values())
-# One to three stars or underscores, hugging what stands between two equal ones.
-_EMPHASIS = r"(?<mark>[*]{1,3}|_{1,3})(?=\S)(.+?)(?<=\S)\k<mark>"
-_EMPHASIS_DEPTH = 2
+@arrow_udf(T.StringType())
+def _spoken(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else spoken(t) for t in texts.to_pylist()], pa.string())
+
+
+# A text without any of these holds no mark, no second line and no run of blanks.
+_MAY_BE_MARKED = r"[\[`*_#\n\t]|  |^ ?[-+\p{Nd}]"
 
 
 def speakable(text: Column) -> Column:
-    """Markdown reduced to what a voice can say: labels of links, no line marks, no
-    emphasis (nested once), no code ticks, single blanks and line breaks."""
-    text = F.regexp_replace(text, r"\[(?<label>[^\]]*)\]\([^)]*\)", "${label}")
-    text = F.regexp_replace(text, _LINE_START, "")
-    for _ in range(_EMPHASIS_DEPTH):
-        text = F.regexp_replace(text, _EMPHASIS, "$2")
-    text = F.regexp_replace(text, "`(?<code>[^`]*)`", "${code}")
-    text = F.regexp_replace(F.regexp_replace(text, r"[ \t][ \t]+", " "), r"\n\n+", "\n")
-    return F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
+    """Markdown reduced to what a voice can say: labels of links, no marks of lines, emphasis
+    or code, no repeated blanks or empty lines. Texts that may hold a mark are scanned in
+    Python, the others are trimmed in the JVM."""
+    trimmed = F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.coalesce(_spoken(F.when(text.rlike(_MAY_BE_MARKED), text)), trimmed)
 
 
 def sentences(text: Column) -> Column:
@@ -269,6 +269,7 @@ def judge_messages(
 ) -> Column:
     """Prompt of the meaning judge as an array of (role, content): the caller's
     rubric, then the five labelled fields."""
+    # fixed values: the labels of the fields
     user = F.concat(
         F.lit("User request: "), query,
         F.lit("\nFunction: "), function,
