@@ -169,3 +169,35 @@ def test_pareto_and_threshold(spark):
         "threshold double, canonical_miss double, corruption_rate double",
     )
     assert timing.choose_threshold(costs).first().threshold == 0.9
+
+
+@pytest.mark.parametrize("mean", [1, 3, 40, 5000, 10**9])
+def test_weights_follow_the_poisson_law(mean):
+    drawn = bootstrap.weights(mean, 12345, 20_000)
+    assert abs(drawn.mean() - mean) < 5 * math.sqrt(mean / 20_000)
+    assert 0.9 < drawn.var() / mean < 1.1
+    first, steps = bootstrap.poisson_steps(mean)
+    assert (np.diff(steps.astype(np.int64)) >= 0).all() and steps[-1] >= 2**32 - 1
+    if mean <= 40:
+        shares = [math.exp(-mean + k * math.log(mean) - math.lgamma(k + 1)) for k in range(mean + 20)]
+        for k, share in enumerate(shares):
+            assert abs((drawn == k).mean() - share) < 0.02
+
+
+def test_weights_of_different_rows_are_independent():
+    a, b = (bootstrap.weights(9, s, 20_000) for s in (1, 2))
+    assert abs(np.corrcoef(a, b)[0, 1]) < 0.03
+    assert abs(np.corrcoef(a[1:], a[:-1])[0, 1]) < 0.03
+    assert not bootstrap.weights(0, 1, 5).any()
+
+
+def test_blocks_have_exact_ends(spark):
+    losses = nf.paired_losses(nf.complete_examples(nf.latest_outcomes(outcome_log(spark, 40, False))))
+    got = {(r.language, r.condition): r for r in nf.loss_blocks(losses, resamples=800).collect()}
+    assert set(got) == {(g, c) for g in ("english", None) for c in ("whisper", "sarvam")}
+    for language in ("english", None):
+        lost, same = got[language, "whisper"], got[language, "sarvam"]
+        assert lost.loss_lo_pp < 40 < lost.loss_hi_pp and lost.ci_excludes_zero
+        assert (same.loss_lo_pp, same.loss_hi_pp, same.ci_excludes_zero) == (0.0, 0.0, False)
+    head = nf.first_n_blocks(losses, 20, resamples=200).where("condition = 'whisper'").first()
+    assert (head.n, head.loss_lo_pp, head.loss_hi_pp) == (20, 100.0, 100.0)

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from utterlab.catalog import query
+from utterlab.catalog.resamples import agreement_sql
 from utterlab.functions import text as tx
 from utterlab.operators import judging as j
 from utterlab.operators import logs
+from utterlab.operators.bootstrap import RESAMPLES
 from utterlab.plans import judges
 from utterlab.sources import derived
 from utterlab.sources.derived import CALLS_SQL
@@ -287,20 +289,46 @@ def rater_agreement(spark, folder):
 
 @query(
     "rater_agreement_intervals",
-    f"SELECT *, true AS kappa_holds, true AS raw_holds FROM ({AGREEMENT_SQL})",
+    f"""WITH {RATERS_SQL}, {agreement_sql("ends", "cells", [])}
+    SELECT * FROM ({AGREEMENT_SQL}), ends""",
 )
 def rater_agreement_intervals(spark, folder):
-    """The ends of the intervals are random, so only their order is checked."""
-    out = judges.agreement(votes(spark, folder), resamples=10_000)
-    holds = {
-        "kappa_holds": F.col("kappa").between(F.col("kappa_lo"), F.col("kappa_hi")),
-        "raw_holds": F.col("raw_agreement").between(F.col("raw_lo"), F.col("raw_hi")),
-    }
-    return (
-        out.withColumns(holds)
-        .withColumns({c: F.round(c, 9) for c in ("kappa", "raw_agreement")})
-        .drop("kappa_lo", "kappa_hi", "raw_lo", "raw_hi")
-    )
+    out = judges.agreement(votes(spark, folder), resamples=RESAMPLES)
+    rounded = ["kappa", "raw_agreement", "kappa_lo", "kappa_hi", "raw_lo", "raw_hi"]
+    return out.withColumns({c: F.round(c, 9) for c in rounded})
+
+
+LANGUAGE_SQL = """
+votes AS (SELECT lang AS language, quality = 1 AS judge, toxic = 0 AS owner
+          FROM labels JOIN documents USING (doc_id)),
+cells AS (
+  SELECT language, count(*) AS n, count(*) FILTER (WHERE judge AND owner) AS both_yes,
+    count(*) FILTER (WHERE judge AND NOT owner) AS yes_no,
+    count(*) FILTER (WHERE NOT judge AND owner) AS no_yes,
+    count(*) FILTER (WHERE NOT judge AND NOT owner) AS both_no FROM votes GROUP BY language
+)"""
+
+
+@query(
+    "rater_agreement_by_language",
+    f"""WITH {LANGUAGE_SQL}, {agreement_sql("ends", "cells", ["language"])}, r AS (
+      SELECT *, (both_yes + both_no) / n AS o,
+        ((both_yes + yes_no) / n) * ((both_yes + no_yes) / n)
+        + ((no_yes + both_no) / n) * ((yes_no + both_no) / n) AS e FROM cells),
+    k AS (SELECT *, CASE WHEN e = 1 THEN (o = 1)::INT::DOUBLE ELSE (o - e) / (1 - e) END AS kappa_raw
+          FROM r)
+    SELECT language, n, both_yes, yes_no, no_yes, both_no, round(kappa_raw, 9) AS kappa,
+      round(o, 9) AS raw_agreement, both_yes + yes_no AS judge_yes, both_yes + no_yes AS owner_yes,
+      kappa_raw >= 0.6 AS meets_threshold, kappa_lo, kappa_hi, raw_lo, raw_hi
+    FROM k JOIN ends USING (language)""",
+)
+def rater_agreement_by_language(spark, folder):
+    """Labels meet the language of their item by key; one report per language."""
+    languages = table(spark, folder, "documents").select("doc_id", F.col("lang").alias("language"))
+    joined = votes(spark, folder).join(languages, "doc_id")
+    out = judges.agreement(joined, ["language"], resamples=RESAMPLES)
+    rounded = ["kappa", "raw_agreement", "kappa_lo", "kappa_hi", "raw_lo", "raw_hi"]
+    return out.withColumns({c: F.round(c, 9) for c in rounded})
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from utterlab.catalog import query
+from utterlab.catalog.resamples import ratio_sql
 from utterlab.catalog.noise import P_SQL
 from utterlab.functions import text as tx
 from utterlab.functions.numbers import digit_strings, to_digit_text
@@ -313,12 +314,13 @@ def channel_digits(spark, folder):
              CAST(sum(ref_words) AS BIGINT) AS reference_words, count(*) AS utterances
       FROM scored GROUP BY stt, condition),
     g AS (SELECT *, 100 * (wer - min(CASE WHEN condition = 'clean' THEN wer END)
-                           OVER (PARTITION BY stt)) AS gap FROM p)
+                           OVER (PARTITION BY stt)) AS gap FROM p),
+    {ratio_sql("ends", "scored", ["stt", "condition"], "edits", "ref_words", upper_shift=1)}
     SELECT stt, condition, round(wer, 9) AS wer, reference_words, utterances,
-      round(gap, 6) AS gap_pp, true AS interval_holds FROM g""",
+      round(gap, 6) AS gap_pp, round(lo, 9) AS lo, round(hi, 9) AS hi
+    FROM g JOIN ends USING (stt, condition)""",
 )
 def telephone_wer_intervals(spark, folder):
-    """The ends of the intervals are random, so only their order is checked."""
     scored = wer.scored_transcripts(derived.transcripts(spark, folder))
     keys = ["stt", "condition"]
     # one alignment: equal (edits, words) collapse, and both reports read the counts
@@ -335,9 +337,7 @@ def telephone_wer_intervals(spark, folder):
     return (
         point.join(ci, keys)
         .withColumn("gap_pp", F.round(100 * (F.col("wer") - clean), 6))
-        .withColumn("interval_holds", F.col("wer").between(F.col("lo"), F.col("hi")))
-        .withColumn("wer", F.round("wer", 9))
-        .drop("lo", "hi")
+        .withColumns({c: F.round(c, 9) for c in ("wer", "lo", "hi")})
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from utterlab.functions.stats import mcnemar_p
-from utterlab.operators.bootstrap import ratio_ci
+from utterlab.operators.bootstrap import RESAMPLES, ratio_ci
 from utterlab.operators.logs import latest
 
 CELL = ["language", "example_id", "condition", "run"]
@@ -87,7 +87,8 @@ def noise_floor(complete: DataFrame, k: int = 3, baseline: str = "gt") -> DataFr
 
 
 def paired_losses(complete: DataFrame, k: int = 3, baseline: str = "gt") -> DataFrame:
-    """Per example complete under both: its loss and the two majority votes."""
+    """Per example complete under both: its loss, as runs of all and as a share, and the two
+    majority votes."""
     base = complete.where(F.col("condition") == baseline).select(
         "language", "example_id", "index", *[F.col(f"r{j}").alias(f"g{j}") for j in range(1, k + 1)]
     )
@@ -98,6 +99,8 @@ def paired_losses(complete: DataFrame, k: int = 3, baseline: str = "gt") -> Data
         "condition",
         "example_id",
         "index",
+        (_hits("g", k) - _hits("r", k)).alias("runs_lost"),
+        F.lit(k).alias("runs"),
         ((_hits("g", k) - _hits("r", k)) / F.lit(k)).alias("loss"),
         (2 * _hits("g", k) > k).alias("base_ok"),
         (2 * _hits("r", k) > k).alias("real_ok"),
@@ -119,31 +122,42 @@ def _with_p(block: DataFrame) -> DataFrame:
     )
 
 
-def loss_blocks(losses: DataFrame) -> DataFrame:
-    """Per (language, condition), and pooled over languages (language null)."""
-    sets = losses.groupingSets([["language", "condition"], ["condition"]], "language", "condition")
-    return _with_p(sets.agg(*_block()))
+def _with_interval(losses: DataFrame, block: DataFrame, keys: list[str], resamples: int, seed: int) -> DataFrame:
+    """The block with both ends of its mean loss; counts of whole runs keep the ends exact."""
+    ci = ratio_ci(losses, keys, "runs_lost", "runs", resamples=resamples, seed=seed)
+    ends = ci.select(
+        *keys, (100 * F.col("lo")).alias("loss_lo_pp"), (100 * F.col("hi")).alias("loss_hi_pp")
+    )
+    return block.join(ends, keys).withColumn(
+        "ci_excludes_zero", (F.col("loss_lo_pp") > 0) | (F.col("loss_hi_pp") < 0)
+    )
+
+
+def _blocks(losses: DataFrame, keys: list[str], resamples: int, seed: int) -> DataFrame:
+    return _with_interval(losses, _with_p(losses.groupBy(*keys).agg(*_block())), keys, resamples, seed)
 
 
-def first_n_blocks(losses: DataFrame, first_n: int = 40) -> DataFrame:
+def loss_blocks(losses: DataFrame, resamples: int = RESAMPLES, seed: int = 0) -> DataFrame:
+    """Per (language, condition), and pooled over languages (language null), each with the
+    interval of its loss."""
+    each = _blocks(losses, ["language", "condition"], resamples, seed)
+    pooled = _blocks(losses, ["condition"], resamples, seed)
+    return each.unionByName(pooled, allowMissingColumns=True)
+
+
+def first_n_blocks(
+    losses: DataFrame, first_n: int = 40, resamples: int = RESAMPLES, seed: int = 0
+) -> DataFrame:
     """The same on the first n examples of each language's manifest."""
-    return _with_p(
-        losses.where(F.col("index") < first_n).groupBy("language", "condition").agg(*_block())
-    )
+    return _blocks(losses.where(F.col("index") < first_n), ["language", "condition"], resamples, seed)
 
 
-def verdicts(complete: DataFrame, k: int = 3, resamples: int = 10_000, seed: int = 0) -> DataFrame:
+def verdicts(complete: DataFrame, k: int = 3, resamples: int = RESAMPLES, seed: int = 0) -> DataFrame:
     """Decision per (language, condition): interval, paired test and noise floor."""
     losses = paired_losses(complete, k)
-    block = _with_p(losses.groupBy("language", "condition").agg(*_block()))
-    ci = ratio_ci(losses, ["language", "condition"], "loss", resamples=resamples, seed=seed)
     rules = (
-        block.join(ci, ["language", "condition"])
+        _blocks(losses, ["language", "condition"], resamples, seed)
         .join(noise_floor(complete, k), "language", "left")
-        .withColumn("loss_lo_pp", 100 * F.col("lo"))
-        .withColumn("loss_hi_pp", 100 * F.col("hi"))
-        .drop("lo", "hi")
-        .withColumn("ci_excludes_zero", (F.col("loss_lo_pp") > 0) | (F.col("loss_hi_pp") < 0))
         .withColumn("p_below_05", F.col("mcnemar_p") < 0.05)
         .withColumn(
             "loss_exceeds_noise",
