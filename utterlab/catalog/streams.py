@@ -224,34 +224,48 @@ def turn_events(spark, folder):
     )
 
 
-STREAM_TURNS_SQL = f"""{SPANS_SQL}, {TIMES_SQL},
-closed_turns AS (
-  SELECT user_id AS session_id, strftime(ts, '%Y-%m-%d') AS turn_id, count(*) AS n_spans
+STAGES = ["endpoint", "stt", "llm", "tts"]
+# a span without an end lasts until the last instant of its turn
+STREAM_TURNS_SQL = f"""{SPANS_SQL}, {TIMES_SQL}, {TOTALS_SQL.split(SPANS_SQL + ",")[1].replace(
+        f"coalesce(end_ns, {AS_OF})", "coalesce(end_ns, (SELECT max(greatest(m.at_ns, "
+        "coalesce(o.end_ns, 0))) FROM marks m JOIN spans o USING (session_id, turn_id) WHERE "
+        "m.session_id = spans.session_id AND m.turn_id = spans.turn_id))")},
+all_turns AS (
+  SELECT user_id AS session_id, strftime(ts, '%Y-%m-%d') AS turn_id, count(*) AS n_spans,
+    CASE WHEN max(ts) + INTERVAL 1 HOUR < (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE
+      THEN 'idle' ELSE 'open' END AS closed_by
   FROM events GROUP BY ALL
-  HAVING max(ts) + INTERVAL 1 HOUR < (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE
 )"""
 
 
 @query(
     "stream_turns",
-    f"""WITH {STREAM_TURNS_SQL} SELECT session_id, turn_id, n_spans, t0_ns,
+    f"""WITH {STREAM_TURNS_SQL}, stages AS (
+      SELECT session_id, turn_id, {", ".join(
+          f"round(max(total_ms) FILTER (WHERE stage = '{s}'), 3) AS {s}_ms" for s in STAGES)}
+      FROM totals GROUP BY ALL)
+    SELECT session_id, turn_id, n_spans, t0_ns,
       round((audio_ns - t0_ns) / 1000000, 3) AS ttfa_ms,
-      round((last_ns - t0_ns) / 1000000, 3) AS total_ms, 'idle' AS closed_by
-    FROM closed_turns JOIN times USING (session_id, turn_id)""",
+      round((last_ns - t0_ns) / 1000000, 3) AS total_ms, closed_by,
+      {", ".join(f"{s}_ms" for s in STAGES)}
+    FROM all_turns JOIN times USING (session_id, turn_id)
+    LEFT JOIN stages USING (session_id, turn_id)""",
 )
 def stream_turns(spark, folder):
-    out = run.run_append(st.turns(turn_events(spark, folder)), "turns")
-    return out.drop("stage_ms").withColumns(
-        {c: F.round(c, 3) for c in ("ttfa_ms", "total_ms")}
+    """Every turn: those the stream closed, and those it still held at the end."""
+    closed, state = run.run_with_state(st.turns(turn_events(spark, folder)), "turns")
+    spent = F.from_json("stage_ms", "map<string,double>")
+    return (
+        closed.unionByName(st.open_turns(state))
+        .withColumns({f"{s}_ms": F.round(spent[s], 3) for s in STAGES})
+        .drop("stage_ms")
+        .withColumns({c: F.round(c, 3) for c in ("ttfa_ms", "total_ms")})
     )
 
 
 @query(
     "stream_budget_alerts",
-    f"""WITH {STREAM_TURNS_SQL}, {TOTALS_SQL.split(SPANS_SQL + ",")[1].replace(
-        f"coalesce(end_ns, {AS_OF})", "coalesce(end_ns, (SELECT max(greatest(m.at_ns, "
-        "coalesce(o.end_ns, 0))) FROM marks m JOIN spans o USING (session_id, turn_id) WHERE "
-        "m.session_id = spans.session_id AND m.turn_id = spans.turn_id))")},
+    f"""WITH {STREAM_TURNS_SQL},
     actual AS (
       SELECT session_id, turn_id, stage, total_ms AS actual_ms FROM totals
       UNION ALL SELECT session_id, turn_id, 'ttfa', (audio_ns - t0_ns) / 1000000 FROM times
@@ -259,13 +273,69 @@ def stream_turns(spark, folder):
     budgets(stage, budget_ms) AS (VALUES ('ttfa', 800.0::DOUBLE), ('endpoint', 300.0),
       ('stt', 200.0), ('llm', 300.0), ('tts', 150.0))
     SELECT session_id, turn_id, stage, budget_ms, round(actual_ms, 3) AS actual_ms
-    FROM actual JOIN budgets USING (stage) JOIN closed_turns USING (session_id, turn_id)
+    FROM actual JOIN budgets USING (stage) JOIN all_turns USING (session_id, turn_id)
     WHERE actual_ms > budget_ms""",
 )
 def stream_budget_alerts(spark, folder):
-    turns = st.turns(turn_events(spark, folder))
-    alerts = run.run_append(st.budget_alerts(turns, DEFAULT_BUDGETS), "alerts")
-    return alerts.drop("over_by_ms").withColumn("actual_ms", F.round("actual_ms", 3))
+    """Alerts of the closed turns as the stream gives them, and of the turns still open."""
+    alerts, state = run.run_with_state(
+        st.budget_alerts(st.turns(turn_events(spark, folder)), DEFAULT_BUDGETS), "alerts"
+    )
+    held = st.budget_alerts(st.open_turns(state), DEFAULT_BUDGETS)
+    return (
+        alerts.unionByName(held)
+        .drop("over_by_ms")
+        .withColumn("actual_ms", F.round("actual_ms", 3))
+    )
+
+
+ARRIVALS = 4
+
+
+@query(
+    "stream_late_events",
+    f"""WITH e AS (
+      SELECT event_id, epoch_us(ts) AS us, min(epoch_us(ts)) OVER () AS a,
+             max(epoch_us(ts)) OVER () AS b FROM events),
+    placed AS (
+      SELECT us, CASE WHEN event_id % 10 = 3 THEN {ARRIVALS - 1}
+        ELSE CAST((us - a) * {ARRIVALS} // (b - a + 1) AS INT) END AS arrival FROM e),
+    highest AS (SELECT arrival, max(us) // 1000 * 1000 AS us FROM placed GROUP BY arrival),
+    marks AS (
+      SELECT arrival, max(us) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        - 3600000000 AS us FROM highest)
+    SELECT p.arrival, count(*) AS n_events,
+      count(*) FILTER (WHERE p.us <= m.us IS NOT TRUE) AS n_kept,
+      count(*) FILTER (WHERE p.us <= m.us) AS n_late
+    FROM placed p JOIN marks m USING (arrival) GROUP BY p.arrival""",
+)
+def stream_late_events(spark, folder):
+    """Events come in four parts by time, but a tenth of all comes with the last part. What
+    is behind the watermark by then is dropped, and counted: kept and late are all events."""
+    place = f"{shared_folder(spark)}/arrivals-{uuid.uuid4().hex[:12]}"
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    events = table(spark, folder, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    low, high = events.agg(F.min(us), F.max(us)).first()
+    by_time = F.floor((us - low) * ARRIVALS / (high - low + 1)) if low is not None else F.lit(0)
+    placed = events.withColumn(
+        "arrival", F.when(F.col("event_id") % 10 == 3, ARRIVALS - 1).otherwise(by_time).cast("int")
+    )
+
+    def arrive(part):
+        return lambda: placed.where(F.col("arrival") == part).write.mode("append").parquet(place)
+
+    placed.limit(0).write.parquet(place)
+    stream = spark.readStream.schema(placed.schema).parquet(place)
+    once = stream.withWatermark("ts", "1 hour").dropDuplicatesWithinWatermark(["event_id"])
+    kept, late = run.run_arrivals(once, "late", [arrive(i) for i in range(ARRIVALS)])
+    counted = spark.createDataFrame(list(enumerate(late)), "arrival int, n_late long")
+    sizes = kept.groupBy("arrival").agg(F.count(F.lit(1)).alias("n_kept"))
+    return counted.join(F.broadcast(sizes), "arrival", "left").select(
+        "arrival",
+        (F.coalesce("n_kept", F.lit(0)) + F.col("n_late")).alias("n_events"),
+        F.coalesce("n_kept", F.lit(0).cast("long")).alias("n_kept"),
+        "n_late",
+    )
 
 
 @query(

@@ -20,7 +20,8 @@ from utterlab.sources.lexicon import Lexicon
 def _batch_rows(chunks: Iterator[pd.DataFrame], order: str) -> pd.DataFrame:
     """One key's rows of this micro-batch, in order (a batch is bounded by its trigger)."""
     frames = list(chunks)
-    return pd.concat(frames).sort_values(order) if frames else pd.DataFrame()
+    rows = frames[0] if len(frames) == 1 else pd.concat(frames) if frames else pd.DataFrame()
+    return rows if len(rows) < 2 else rows.sort_values(order)
 
 
 def utterance_events(
@@ -98,6 +99,26 @@ def _merge(intervals: list[list[int]], start: int, end: int) -> list[list[int]]:
     return sorted(kept)
 
 
+_NAMES = [c.split()[0] for c in _TURN_OUT.split(", ")]
+
+
+def _turn_row(key: tuple, s: dict, why: str) -> tuple:
+    """A turn record from its state; spans still open end at the turn's last instant."""
+    last = max(s["last"], s["last_start"])
+    for stage, starts in s["open"].items():
+        for start in starts:
+            s["stages"][stage] = _merge(s["stages"].get(stage, []), start, max(start, last))
+    t0 = s["speech"][1] if s["speech"][1] != _NONE else s["first"]
+    audio = s["audio"][1]
+    totals = {k: sum(b - a for a, b in v) / 1e6 for k, v in sorted(s["stages"].items())}
+    return (
+        *key, s["n"], t0,
+        None if audio == _NONE else (audio - t0) / 1e6,
+        None if s["last"] == _NONE else (s["last"] - t0) / 1e6,
+        json.dumps(totals), why,
+    )
+
+
 def turns(
     events: DataFrame, delay: str = "10 minutes", idle: str = "1 hour", closing: str = "turn_end"
 ) -> DataFrame:
@@ -105,25 +126,13 @@ def turns(
 
     A turn is emitted when its closing mark arrives or when nothing came for
     ``idle`` of event time; spans still open then end at the turn's last instant.
-    State per turn: a few instants and the disjoint intervals of each stage.
+    State per turn: a few instants and the disjoint intervals of each stage. Turns that are
+    still open when a run ends are read from its state by ``open_turns``.
     """
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def emit(key: tuple, s: dict, why: str) -> pd.DataFrame:
-        last = max(s["last"], s["last_start"])
-        for stage, starts in s["open"].items():
-            for start in starts:
-                s["stages"][stage] = _merge(s["stages"].get(stage, []), start, max(start, last))
-        t0 = s["speech"][1] if s["speech"][1] != _NONE else s["first"]
-        audio = s["audio"][1]
-        totals = {k: sum(b - a for a, b in v) / 1e6 for k, v in sorted(s["stages"].items())}
-        row = (
-            key[0], key[1], s["n"], t0,
-            None if audio == _NONE else (audio - t0) / 1e6,
-            None if s["last"] == _NONE else (s["last"] - t0) / 1e6,
-            json.dumps(totals), why,
-        )
-        return pd.DataFrame([row], columns=[c.split()[0] for c in _TURN_OUT.split(", ")])
+        return pd.DataFrame([_turn_row(key, s, why)], columns=_NAMES)
 
     def step(
         key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState
@@ -174,6 +183,21 @@ def turns(
     )
 
 
+def open_turns(state: DataFrame) -> DataFrame:
+    """Records of the turns that a stopped ``turns`` stream still holds, as far as they came,
+    from its state (key, value); ``closed_by`` is "open"."""
+
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [
+                _turn_row((session, turn), json.loads(held), "open")
+                for session, turn, held in zip(pdf["session_id"], pdf["turn_id"], pdf["s"], strict=True)
+            ]
+            yield pd.DataFrame(rows, columns=_NAMES)
+
+    return state.select("key.session_id", "key.turn_id", "value.groupState.s").mapInPandas(finish, _TURN_OUT)
+
+
 def budget_alerts(turn_stream: DataFrame, budgets: dict[str, float]) -> DataFrame:
     """Stages and time to first audio over budget, as the turns are emitted."""
     spent = F.map_concat(
