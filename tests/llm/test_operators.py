@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import math
 import random
@@ -411,8 +412,6 @@ def test_warc_splits_own_each_record_once(spark, split):
 
 
 def test_warc_ignores_what_is_no_record(spark, tmp_path):
-    import gzip
-
     good = warc._member({"payload": b"hi", "digest": "0" * 40, "record_id": "<urn:1>", "uri": None, "refers_to": None}, "d")
     (tmp_path / "a.warc.gz").write_bytes(b"junk\x1f\x8b\x08junk" + gzip.compress(b"not a record") + good + good[:30])
     files = warc.archives(spark, str(tmp_path / "a.warc.gz"))
@@ -420,6 +419,28 @@ def test_warc_ignores_what_is_no_record(spark, tmp_path):
     assert [r.record_id for r in rows] == ["<urn:1>"]
 
 
+def test_warc_headers_of_other_writers_are_rejected_alone(spark, tmp_path):
+    def member(digest, length, http="Content-Length: 2"):
+        head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Payload-Digest: {digest}\r\nContent-Length: {length}"
+        return gzip.compress(f"{head}\r\n\r\nHTTP/1.1 200 OK\r\n{http}\r\n\r\nhi".encode())
+
+    size = len("HTTP/1.1 200 OK\r\nContent-Length: 2\r\n\r\nhi")
+    sha = hashlib.sha1(b"hi").hexdigest()
+    cases = [
+        (member(f"sha1:{sha}", size), sha, None),
+        (member("sha256:" + "0" * 64, size), None, "warc-payload-digest"),
+        (member("md5:" + "0" * 32, size), None, "warc-payload-digest"),
+        (member("sha1:zz", size), None, "warc-payload-digest"),
+        (member(f"sha1:{sha}", ""), sha, "content-length"),
+        (member(f"sha1:{sha}", "x", "Content-Length: ²"), sha, "content-length, http content-length"),
+        (member("", size), None, None),
+    ]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(c[0] for c in cases))
+    rows = warc.read_warc(warc.archives(spark, str(tmp_path / "a.warc.gz"))).collect()
+    got = [(r.digest, r.reject, bytes(r.payload), r.payload_bytes) for r in sorted(rows, key=lambda r: r.offset)]
+    assert got == [(digest, reject, b"hi", 2) for _, digest, reject in cases]
+
+
 def test_warc_of_nothing(spark):
     none = spark.createDataFrame([], "record_id string, uri string, digest string, refers_to string, payload binary")
     assert warc.read_warc(warc.write_warc(none, scratch(spark, "warc-test"))).count() == 0

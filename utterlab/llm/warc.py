@@ -38,7 +38,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _BLOCK = 1 << 18
 RECORDS = (
     "path string, offset long, type string, record_id string, uri string, digest string,"
-    " refers_to string, payload_bytes long, payload binary"
+    " refers_to string, payload_bytes long, payload binary, reject string"
 )
 
 
@@ -173,7 +173,12 @@ def splits(files: DataFrame, split_bytes: int = 64 << 20) -> DataFrame:
 def read_warc(
     files: DataFrame, split_bytes: int = 64 << 20, max_tasks: int = 100_000
 ) -> DataFrame:
-    """Records of the (path, length) archives, each owned by the range it starts in."""
+    """Records of the (path, length) archives, each owned by the range it starts in.
+
+    A header of another writer that can't be read costs its own column only: ``digest`` is
+    null where it is no SHA-1, ``payload_bytes`` is the length found where the length is no
+    number, and ``reject`` names the headers concerned (null where all were read).
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,6 +210,7 @@ _SCHEMA = pa.schema(
         ("refers_to", pa.string()),
         ("payload_bytes", pa.int64()),
         ("payload", pa.binary()),
+        ("reject", pa.string()),
     ]
 )
 
@@ -267,32 +273,56 @@ def _parse(raw: bytes) -> dict | None:
         return None
     head, _, rest = raw.partition(b"\r\n\r\n")
     fields = _fields(head)
-    block = rest[: int(fields.get("content-length", len(rest)))]
+    length, bad_length = _count(fields.get("content-length"))
+    block = rest if length is None else rest[:length]
     http, _, payload = block.partition(b"\r\n\r\n")
     kind = fields.get("warc-type")
-    length = _fields(http).get("content-length") if block.startswith(b"HTTP/") else None
-    digest = fields.get("warc-payload-digest", "")
+    told, bad_told = _count(
+        _fields(http).get("content-length") if block.startswith(b"HTTP/") else None
+    )
+    written_digest = fields.get("warc-payload-digest")
+    digest = _hex(written_digest) if written_digest else None
+    bad = {
+        "content-length": bad_length,
+        "http content-length": bad_told,
+        "warc-payload-digest": bool(written_digest) and digest is None,
+    }
     return {
         "type": kind,
         "record_id": fields.get("warc-record-id"),
         "uri": fields.get("warc-target-uri"),
-        "digest": _hex(digest) if digest else None,
+        "digest": digest,
         "refers_to": fields.get("warc-refers-to"),
-        "payload_bytes": int(length) if length else len(payload),
+        "payload_bytes": told if told is not None else len(payload),
         "payload": payload if kind != "revisit" else None,
+        "reject": ", ".join(name for name, failed in bad.items() if failed) or None,
     }
 
 
+def _count(text: str | None) -> tuple[int | None, bool]:
+    """A length header as a number, and whether it is there but is none (of 18 digits at most)."""
+    if text is None:
+        return None, False
+    whole = re.fullmatch(r"[0-9]{1,18}", text)
+    return (int(text), False) if whole else (None, True)
+
+
 def _fields(head: bytes) -> dict[str, str]:
     lines = head.decode("utf-8", "replace").split("\r\n")[1:]
     return {k.strip().lower(): v.strip() for k, s, v in (x.partition(":") for x in lines) if s}
 
 
-def _hex(digest: str) -> str:
-    value = digest.partition(":")[2] or digest
+def _hex(digest: str) -> str | None:
+    """Lower-case hex of a SHA-1 given in hex or base 32, null for anything else."""
+    label, colon, value = digest.partition(":")
+    if colon and label.lower() not in ("sha1", "sha-1"):
+        return None
+    value = value if colon else label
     if re.fullmatch(r"[0-9a-fA-F]{40}", value):
         return value.lower()
-    return base64.b32decode(value).hex()
+    if re.fullmatch(r"[A-Za-z2-7]{32}", value):
+        return base64.b32decode(value.upper()).hex()
+    return None
 
 
 def payload_digest(payload: bytes) -> str:
