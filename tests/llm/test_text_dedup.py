@@ -165,6 +165,48 @@ def test_exact_repeats_among_variants_of_a_frame(make):
     assert {r.a for r in rows if r.a < 120 and order[r.a] == order[r.b]} == set(range(40, 120))
 
 
+@pytest.mark.parametrize("around", [0, 60])
+def test_near_copies_among_many_variants_of_a_frame(make, around):
+    rng, frame, held = random.Random(5), prose(77, 38), []
+    for copy in range(2):
+        for v in rng.sample(range(600), 600):
+            w = [*frame, *prose(3000 + v, 22)]
+            if copy:
+                w[rng.randrange(60)] = "changed"
+            i = len(held)
+            held.append((v, w, " ".join([*prose(90000 + i, rng.randint(0, around)), *w, *prose(80000 + i, rng.randint(0, around))])))
+    by = defaultdict(list)
+    for v, w, _ in held:
+        by[v].append(shingles(" ".join(w)))
+    want = {v for v, (p, q) in by.items() if len(p & q) >= 0.8 * len(p | q)}
+    rows = sd.repeated_passages(make([t for *_, t in held]).repartition(4)).collect()
+    found = {held[r.a][0] for r in rows if held[r.a][0] == held[r.b][0]}
+    assert len(want) > 500 and len(found & want) >= 0.9 * len(want)
+
+
+def test_hot_groups_are_split_and_keep_exact_repeats(make, monkeypatch):
+    monkeypatch.setattr(sd, "_GROUP", 20)
+    test_exact_repeats_among_variants_of_a_frame(make)
+
+
+def test_null_and_repeated_ids(make):
+    text, other = " ".join(prose(5, 70)), " ".join(prose(6, 70))
+    docs = make([(None, text), (1, text), (1, text), (2, other), (3, text)])
+    assert {(r.a, r.b) for r in sd.repeated_passages(docs).collect()} == {(3, 1)}
+
+
+def test_range_minima_match_slices():
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    for n in (1, 3, 40, 200):
+        values = rng.integers(0, 2**63, n).astype(np.uint64)
+        low = rng.integers(0, n, 50)
+        high = np.minimum(n, low + rng.integers(0, 62, 50))
+        want = [min(values[a:b].tolist(), default=2**64 - 1) for a, b in zip(low, high, strict=True)]
+        assert sd._range_minima(values, low, high).tolist() == want
+
+
 def test_edited_passages_are_found_like_brute_force():
     import numpy as np
 
