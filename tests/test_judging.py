@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from utterlab.operators import judging as j
 from utterlab.plans import judges
+from utterlab.sources import derived
 
 EXPECTED = {"city": ["Bandra,Mumbai", "Bandra"], "tags": ["red", "blue"]}
 CASES = [  # called, arguments, error -> exact, list-aware, class
@@ -95,3 +96,25 @@ def test_kappa(spark, cells, kappa):
     assert round(r.kappa, 9) == kappa
     assert r.kappa_lo <= r.kappa <= r.kappa_hi + 1e-12
     assert r.raw_lo <= r.raw_agreement <= r.raw_hi + 1e-12
+
+
+def test_calls_of_one_file_are_judged_by_many_tasks(spark, tmp_path):
+    # one row group, so one task reads it; two columns more than the calls need
+    spark.range(1, 400).selectExpr(
+        "id AS p_partkey", "'almond azure' AS p_name", "'Brand#13' AS p_brand",
+        "'SMALL' AS p_type", "CAST(id % 50 AS int) AS p_size", "'x' AS p_note",
+    ).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    calls = j.prepare(derived.tool_calls(spark, str(tmp_path)))
+    spread = calls.select(F.spark_partition_id().alias("task")).distinct().count()
+    assert spread >= spark.sparkContext.defaultParallelism
+
+
+def test_arguments_are_parsed_once_for_the_mismatches(spark, tmp_path):
+    spark.range(1, 40).selectExpr(
+        "id AS p_partkey", "'almond azure' AS p_name", "'Brand#13' AS p_brand",
+        "'SMALL' AS p_type", "CAST(id % 50 AS int) AS p_size",
+    ).write.parquet(f"{tmp_path}/part.parquet")
+    items = j.mismatch_items(j.prepare(derived.tool_calls(spark, str(tmp_path))))
+    plan = items._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("map_from_entries(") == 1
+    assert items.count() > 0

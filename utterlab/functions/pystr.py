@@ -94,8 +94,16 @@ def argument_table(arguments_json: Column) -> Column:
         texts, values = pair["texts"], pair["values"]
 
         def entry(name: Column) -> Column:
-            text, value = texts[name], values[name]
-            kind = F.schema_of_variant(value)
+            found = F.struct(
+                name.alias("name"),
+                texts[name].alias("text"),
+                values[name].alias("value"),
+                F.schema_of_variant(values[name]).alias("kind"),
+            )
+            return let(found, typed)
+
+        def typed(found: Column) -> Column:
+            text, value, kind = found["text"], found["value"], found["kind"]
             is_list = kind.startswith("ARRAY")
             whole = F.when(
                 is_list,
@@ -104,16 +112,19 @@ def argument_table(arguments_json: Column) -> Column:
             items = F.when(is_list, _elements(text, value, False)).otherwise(
                 F.array(_scalar(text, kind, False))
             )
-            return F.struct(
-                name,
-                F.struct(
-                    whole.alias("text"),
-                    argument_form(whole).alias("norm"),
-                    F.array_sort(F.array_distinct(F.transform(items, argument_form))).alias(
-                        "elements"
+            return let(
+                whole,
+                lambda w: F.struct(
+                    found["name"],
+                    F.struct(
+                        w.alias("text"),
+                        argument_form(w).alias("norm"),
+                        F.array_sort(F.array_distinct(F.transform(items, argument_form))).alias(
+                            "elements"
+                        ),
+                        _json_text(text, value, kind).alias("json"),
+                        is_list.alias("is_list"),
                     ),
-                    _json_text(text, value, kind).alias("json"),
-                    is_list.alias("is_list"),
                 ),
             )
 

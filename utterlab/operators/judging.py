@@ -127,11 +127,11 @@ ITEM = ["language", "example_id", "parameter", "value_key"]
 
 def mismatch_items(prepared: DataFrame) -> DataFrame:
     """One row per list-aware mismatch of a call that reached the value checks."""
+    # no filter: it would move below ``args`` and parse the arguments once more per parameter
     return (
-        prepared.where(_reached())
-        .select(
+        prepared.select(
             "*",
-            F.explode(mismatches(list_aware=True)).alias("parameter"),
+            F.explode(F.when(_reached(), mismatches(list_aware=True))).alias("parameter"),
         )
         .withColumn("returned_value", F.col("args")[F.col("parameter")]["json"])
         .withColumn("value_key", argument_form(F.col("returned_value")))
