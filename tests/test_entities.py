@@ -192,3 +192,22 @@ def test_both_substring_forms_count_like_a_loop(spark, lexicon):
                 for s in lexicon.spellings
             ]
             assert [tuple(h) for h in r.h] == [w for w in want if w[2]], r.text
+
+
+def test_unchanged_texts_keep_their_mentions(spark, lexicon):
+    """Mentions that the log brings are kept, and an unchanged text is not searched again."""
+    log = spark.createDataFrame(
+        [(1, "my upi is here", "my upi is here"), (2, "nothing", "nothing"), (3, "gst", "Gst.")],
+        "example_id int, ground_truth_text string, raw_text string",
+    )
+    once = log.withColumn("gt_mentions", m.mentions_in_row(F.col("ground_truth_text"), lexicon))
+    want = ["raw_mentions", "exact_text", "exact_mentions"]
+    assert lexicon.small
+    got = plan.with_exact(once, ["example_id"], lexicon).orderBy("example_id")
+    full = m.add_mentions(
+        plan.with_exact(log, ["example_id"], lexicon), ["example_id"], {"again": "exact_text"}, lexicon
+    ).orderBy("example_id")
+    assert got.select("gt_mentions", *want).collect() == full.select("gt_mentions", *want).collect()
+    assert [r.exact_mentions for r in full.collect()] == [r.again for r in full.collect()]
+    text = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN (exact_text" in text
