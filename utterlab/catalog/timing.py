@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from utterlab.catalog import query
+from utterlab.catalog.transcripts import scored_log
 from utterlab.catalog.transcripts import SCORED_SQL
 from utterlab.operators import intervals as iv
 from utterlab.plans import timing, wer
@@ -260,7 +261,7 @@ points AS (
 
 
 def sweep(spark, folder):
-    scored = wer.scored_transcripts(derived.transcripts(spark, folder)).withColumns(
+    scored = scored_log(spark, folder).withColumns(
         {
             "stt_ms": F.length("raw_text") * F.lit(7.5),
             "audio_ms": F.col("ref_words") * F.lit(400.0),
