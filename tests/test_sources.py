@@ -148,3 +148,12 @@ def test_wer_on_a_log_file_end_to_end(spark, tmp_path):
     (tmp_path / "log.jsonl").write_text("\n".join(map(json.dumps, lines)))
     log = ops.latest(logs.read_transcripts(spark, str(tmp_path / "log.jsonl"))[0], logs.TRANSCRIPT_KEY)
     assert wer.corpus_wer(wer.scored_transcripts(log)).first().wer == 0.25
+
+
+def test_a_table_of_several_files_is_streamed_whole(spark, tmp_path):
+    from utterlab.streaming import run
+
+    spark.range(100).repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(7).write.parquet(f"{tmp_path}/orders.parquet")
+    streamed = run.run_append(run.read_stream(spark, str(tmp_path), "events"), "several")
+    assert sorted(r.id for r in streamed.collect()) == list(range(100))

@@ -16,14 +16,14 @@ from utterlab.session import shared_folder
 def read_stream(
     spark: SparkSession, folder: str, name: str, batch_files: int = 1000
 ) -> DataFrame:
-    """One table of ``folder`` as a file stream, a backlog in batches of ``batch_files`` files."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{name}.parquet")
-        .option("maxFilesPerTrigger", batch_files)
-        .parquet(folder)
-    )
+    """One table of ``folder``, a file or a folder of files, as a file stream; a backlog comes
+    in batches of ``batch_files`` files."""
+    path = f"{folder}/{name}.parquet"
+    table = spark.read.parquet(path)
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", batch_files)
+    if any(file.endswith(f"/{name}.parquet") for file in table.inputFiles()):
+        return stream.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    return stream.parquet(path)
 
 
 def _place(spark: SparkSession, name: str) -> str:
