@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import pathlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -157,3 +158,51 @@ def test_a_table_of_several_files_is_streamed_whole(spark, tmp_path):
     spark.range(7).write.parquet(f"{tmp_path}/orders.parquet")
     streamed = run.run_append(run.read_stream(spark, str(tmp_path), "events"), "several")
     assert sorted(r.id for r in streamed.collect()) == list(range(100))
+
+
+def _batches(spark, path, schema, batches):
+    seen = set()
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        for part in pathlib.Path(path).glob("part-*"):
+            if part not in seen:
+                os.utime(part, (1_700_000_000 + k, 1_700_000_000 + k))
+                seen.add(part)
+    kind = spark.read.parquet(path).schema
+    return spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_turns_that_share_a_bucket_close_one_by_one(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    at = lambda minutes: datetime(2026, 1, 1) + timedelta(minutes=minutes)
+    big = 1_700_000_000_000_000_001  # a float would lose the last digits
+    batches = [
+        [(1, "t", "span", "stt", big, big + 1000, 1, at(0)), (1, "u", "span", "llm", 0, None, 2, at(0))],
+        [(1, "t", "span", "stt", big + 900, big + 2000, 3, at(30)), (2, "v", "span", "stt", 0, 9, 4, at(300))],
+        [(2, "v", "mark", "turn_end", 10, None, 5, at(301)), (2, "w", "span", "stt", 0, 9, 6, at(302))],
+    ]
+    schema = "session_id long, turn_id string, kind string, name string, start_ns long, end_ns long, seq long, ts timestamp"
+    events = _batches(spark, str(tmp_path / "in"), schema, batches)
+    closed, state = run.run_with_state(st.turns(events, buckets=1), "turns")
+    assert state.count() == 1
+    got = closed.unionByName(st.open_turns(state)).collect()
+    assert sorted((r.turn_id, r.closed_by, r.n_spans) for r in got) == [
+        ("t", "idle", 2), ("u", "idle", 1), ("v", "mark", 1), ("w", "open", 1)
+    ]
+    assert [json.loads(r.stage_ms) for r in got if r.turn_id == "t"] == [{"stt": 0.002}]
+
+
+def test_tool_calls_that_share_a_bucket_are_kept_apart(spark, tmp_path):
+    batches = [
+        [(1, 0, 0, "a", "f", '{"k":', False), (2, 0, 0, "", "g", '{"x', False)],
+        [(2, 0, 1, None, None, '":2}', True), (3, 1, 0, "", "h", "oops", True)],
+        [(1, 0, 1, "", "", "1}", True)],
+    ]
+    schema = "turn_id long, index int, seq int, id string, name string, arguments string, is_final boolean"
+    calls = st.tool_calls(_batches(spark, str(tmp_path / "in"), schema, batches), ["turn_id"], buckets=1)
+    got, state = run.run_with_state(calls, "calls")
+    assert sorted(tuple(r) for r in got.collect()) == [
+        (1, 0, "a", "f", '{"k":1}'), (2, 0, "call_0", "g", '{"x":2}'), (3, 1, "call_1", "h", "{}")
+    ]
+    assert state.count() == 0

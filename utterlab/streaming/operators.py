@@ -24,6 +24,27 @@ def _batch_rows(chunks: Iterator[pd.DataFrame], order: str) -> pd.DataFrame:
     return rows if len(rows) < 2 else rows.sort_values(order)
 
 
+BUCKETS = 2048
+"""Groups of a keyed stream. Each call of a group costs milliseconds, so the short-lived keys
+of a stream share groups; a group's state holds its unfinished keys only."""
+
+
+def _bucketed(rows: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+    return rows.withColumn("__bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
+
+
+def _by_key(rows: pd.DataFrame, keys: list[str], rest: list[str]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Each key of a group with its rows, which are sorted by ``rest[0]``."""
+    held: dict[tuple, list[tuple]] = {}
+    columns = [rows[c].tolist() for c in (*keys, *rest)]
+    n = len(keys)
+    for row in zip(*columns, strict=True):
+        held.setdefault(row[:n], []).append(row[n:])
+    for key, found in held.items():
+        found.sort(key=lambda r: r[0])
+        yield key, found
+
+
 def utterance_events(
     windows: DataFrame,
     threshold: float = 0.5,
@@ -120,63 +141,80 @@ def _turn_row(key: tuple, s: dict, why: str) -> tuple:
 
 
 def turns(
-    events: DataFrame, delay: str = "10 minutes", idle: str = "1 hour", closing: str = "turn_end"
+    events: DataFrame,
+    delay: str = "10 minutes",
+    idle: str = "1 hour",
+    closing: str = "turn_end",
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """Turn records assembled from a stream of span and mark events.
 
     A turn is emitted when its closing mark arrives or when nothing came for
     ``idle`` of event time; spans still open then end at the turn's last instant.
-    State per turn: a few instants and the disjoint intervals of each stage. Turns that are
-    still open when a run ends are read from its state by ``open_turns``.
+    State per turn: a few instants and the disjoint intervals of each stage, beside those of
+    the other unfinished turns of its bucket. Turns that are still open when a run ends are
+    read from its state by ``open_turns``.
     """
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
 
-    def emit(key: tuple, s: dict, why: str) -> pd.DataFrame:
-        return pd.DataFrame([_turn_row(key, s, why)], columns=_NAMES)
-
-    def step(
-        key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        s = json.loads(state.get[0]) if state.exists else {
-            "n": 0, "first": 1 << 62, "last": _NONE, "last_start": _NONE,
-            "speech": [_NONE, _NONE], "audio": [1 << 62, _NONE], "stages": {}, "open": {},
-        }
-        if state.hasTimedOut:
-            state.remove()
-            yield emit(key, s, "idle")
-            return
-        rows = _batch_rows(chunks, "seq")
+    def add(s: dict, rows: list[tuple]) -> bool:
+        """Takes the rows of a turn into its state; whether they close it."""
         closed = False
-        for r in rows.itertuples(index=False):
-            start = int(r.start_ns)
+        for seq, kind, name, start, end, _ in rows:
+            start = int(start)
             s["first"] = min(s["first"], start)
             s["last_start"] = max(s["last_start"], start)
-            if r.kind == "span":
+            if kind == "span":
                 s["n"] += 1
-                if pd.isna(r.end_ns):
-                    s["open"].setdefault(r.name, []).append(start)
+                if not isinstance(end, str):
+                    s["open"].setdefault(name, []).append(start)
                 else:
-                    end = int(r.end_ns)
+                    end = int(end)
                     s["last"] = max(s["last"], end)
-                    s["stages"][r.name] = _merge(s["stages"].get(r.name, []), start, end)
+                    s["stages"][name] = _merge(s["stages"].get(name, []), start, end)
                 continue
             s["last"] = max(s["last"], start)
-            if r.name == "user_speech_end" and r.seq > s["speech"][0]:
-                s["speech"] = [int(r.seq), start]
-            elif r.name == "first_audio_out" and r.seq < s["audio"][0]:
-                s["audio"] = [int(r.seq), start]
-            closed = closed or r.name == closing
-        if closed:
+            if name == "user_speech_end" and seq > s["speech"][0]:
+                s["speech"] = [int(seq), start]
+            elif name == "first_audio_out" and seq < s["audio"][0]:
+                s["audio"] = [int(seq), start]
+            closed = closed or name == closing
+        return closed
+
+    def step(
+        _bucket: tuple, chunks: Iterator[pd.DataFrame], state: GroupState
+    ) -> Iterator[pd.DataFrame]:
+        # turn -> [when it is idle, its state]
+        held = {(a, b): [at, s] for a, b, at, s in json.loads(state.get[0])} if state.exists else {}
+        mark, out, seen = state.getCurrentWatermarkMs(), [], set()
+        if not state.hasTimedOut:
+            rows = pd.concat(list(chunks))
+            rows["ms"] = rows["ts"].astype("datetime64[ms]").astype("int64")
+            order = ["seq", "kind", "name", "start_ns", "end_text", "ms"]
+            for key, found in _by_key(rows, ["session_id", "turn_id"], order):
+                seen.add(key)
+                s = held.pop(key, (0, None))[1] or {
+                    "n": 0, "first": 1 << 62, "last": _NONE, "last_start": _NONE,
+                    "speech": [_NONE, _NONE], "audio": [1 << 62, _NONE], "stages": {}, "open": {},
+                }
+                if add(s, found):
+                    out.append(_turn_row(key, s, "mark"))
+                else:
+                    held[key] = [max(max(r[5] for r in found), mark) + idle_ms, s]
+        for key in [k for k, (at, _) in held.items() if at < mark and k not in seen]:
+            out.append(_turn_row(key, held.pop(key)[1], "idle"))
+        if held:
+            state.update((json.dumps([[*k, at, s] for k, (at, s) in held.items()]),))
+            state.setTimeoutTimestamp(max(min(at for at, _ in held.values()), mark + 1))
+        elif state.exists:
             state.remove()
-            yield emit(key, s, "mark")
-            return
-        state.update((json.dumps(s),))
-        newest = int(rows["ts"].max().timestamp() * 1000)
-        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + idle_ms)
+        yield pd.DataFrame(out, columns=_NAMES)
 
+    # an integer that may be null reaches pandas as a float, which cannot hold nanoseconds
+    exact = events.withWatermark("ts", delay).withColumn("end_text", F.col("end_ns").cast("string"))
     return (
-        events.withWatermark("ts", delay)
-        .groupBy("session_id", "turn_id")
+        _bucketed(exact.drop("end_ns"), ["session_id", "turn_id"], buckets)
+        .groupBy("__bucket")
         .applyInPandasWithState(
             step, _TURN_OUT, "s string", "append", GroupStateTimeout.EventTimeTimeout
         )
@@ -190,12 +228,13 @@ def open_turns(state: DataFrame) -> DataFrame:
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [
-                _turn_row((session, turn), json.loads(held), "open")
-                for session, turn, held in zip(pdf["session_id"], pdf["turn_id"], pdf["s"], strict=True)
+                _turn_row((session, turn), s, "open")
+                for held in pdf["s"]
+                for session, turn, _, s in json.loads(held)
             ]
             yield pd.DataFrame(rows, columns=_NAMES)
 
-    return state.select("key.session_id", "key.turn_id", "value.groupState.s").mapInPandas(finish, _TURN_OUT)
+    return state.select("value.groupState.s").mapInPandas(finish, _TURN_OUT)
 
 
 def budget_alerts(turn_stream: DataFrame, budgets: dict[str, float]) -> DataFrame:
@@ -279,35 +318,44 @@ def sentences(deltas: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def tool_calls(fragments: DataFrame, keys: list[str]) -> DataFrame:
+def tool_calls(fragments: DataFrame, keys: list[str], buckets: int = BUCKETS) -> DataFrame:
     """(keys, index, seq, id, name, arguments, is_final) -> the turn's assembled calls,
-    emitted when its final fragment arrives. State per turn: its partial calls."""
+    emitted when its final fragment arrives. State per turn: its partial calls, beside those
+    of the other unfinished turns of its bucket. Keys are whole numbers or texts."""
 
-    def step(
-        key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        calls = json.loads(state.get[0]) if state.exists else {}
-        rows = _batch_rows(chunks, "seq")
-        for r in rows.itertuples(index=False):
-            call = calls.setdefault(str(r.index), ["", "", ""])
-            call[0] = r.id or call[0]
-            call[1] = r.name or call[1]
-            call[2] += r.arguments or ""
-        if not bool(rows["is_final"].any()):
-            state.update((json.dumps(calls),))
-            return
-        state.remove()
-        out = []
+    def assembled(key: tuple, calls: dict) -> Iterator[tuple]:
         for index, (call_id, name, text) in calls.items():
             try:
                 ok = isinstance(json.loads(text), dict)
             except json.JSONDecodeError:
                 ok = False
-            out.append((*key, int(index), call_id or f"call_{index}", name, text if ok else "{}"))
+            yield (*key, int(index), call_id or f"call_{index}", name, text if ok else "{}")
+
+    def step(
+        _bucket: tuple, chunks: Iterator[pd.DataFrame], state: GroupState
+    ) -> Iterator[pd.DataFrame]:
+        held = {tuple(key): calls for key, calls in json.loads(state.get[0])} if state.exists else {}
+        out: list[tuple] = []
+        order = ["seq", "index", "id", "name", "arguments", "is_final"]
+        for key, found in _by_key(pd.concat(list(chunks)), keys, order):
+            calls = held.pop(key, {})
+            for _, index, call_id, name, arguments, _ in found:
+                call = calls.setdefault(str(index), ["", "", ""])
+                call[0] = call_id or call[0]
+                call[1] = name or call[1]
+                call[2] += arguments or ""
+            if any(r[5] for r in found):
+                out.extend(assembled(key, calls))
+            else:
+                held[key] = calls
+        if held:
+            state.update((json.dumps([[list(k), calls] for k, calls in held.items()]),))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=[*keys, "index", "id", "name", "arguments"])
 
     kinds = ", ".join(f"{k} {fragments.schema[k].dataType.simpleString()}" for k in keys)
-    return fragments.groupBy(*keys).applyInPandasWithState(
+    return _bucketed(fragments, keys, buckets).groupBy("__bucket").applyInPandasWithState(
         step,
         f"{kinds}, index int, id string, name string, arguments string",
         "calls string",
