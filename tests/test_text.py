@@ -180,3 +180,14 @@ def test_model_and_run_labels(spark):
 def test_argument_text_follows_one_convention(spark, json_text, want):
     df = spark.createDataFrame([(json_text,)], "j string")
     assert df.select(argument_table(F.col("j"))["a"]["norm"]).first()[0] == want
+
+
+def test_script_counts_every_letter_and_breaks_ties_by_place(spark):
+    rows = ["abc кот", "кот abc", "abcd кот", "ab котик", "é ß к", "", "12 !", None, "한국 ab", "ab 한국", "ꦏꦤ", "漢字 kana"]
+    df = spark.createDataFrame(list(enumerate(rows)), "k int, t string")
+    out = df.select("k", tx.dominant_script(F.col("t")).alias("s"))
+    want = ["latin", "cyrillic", "latin", "cyrillic", "latin", "none", "none", "none", "hangul", "latin", "other", "latin"]
+    assert [r.s for r in out.orderBy("k").collect()] == want
+    # the whole text is searched for where a script begins only if scripts tie
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" in plan and plan.count("regexp_count(t#") == 0
