@@ -9,6 +9,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
+from utterlab.functions.text import rows_of
 from utterlab.operators import correction as co
 from utterlab.operators import mentions as m
 from utterlab.plans import entities as plan
@@ -211,3 +212,34 @@ def test_unchanged_texts_keep_their_mentions(spark, lexicon):
     assert [r.exact_mentions for r in full.collect()] == [r.again for r in full.collect()]
     text = got._jdf.queryExecution().optimizedPlan().toString()
     assert "CASE WHEN (exact_text" in text
+
+
+def test_overlapping_spellings_agree_in_the_row_and_by_join(spark):
+    spellings = ["de la", "la mer", "de", "de la mer", "l'\\mer", "la-mer", "mer", "é la", "mer de la mer"]
+    rows = [(f"C{i}", "latin", v, i) for i, v in enumerate(spellings)]
+    frame = spark.createDataFrame(rows, "canonical string, script string, variant string, ord int")
+    rng = random.Random(4)
+    pieces = ["de", "LA", "mer", "é", "dela", " ", "-", "\n", "  ", "x", "Mer de la mer"]
+    texts = [None, "", "de", "de la mer de la mer", "mer"]
+    texts += [" ".join(rng.choice(pieces) for _ in range(rng.randrange(1, 25))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    few, many = Lexicon.of(frame), Lexicon.of(frame, in_row_limit=0)
+    assert few.spellings and not few.small and many.spellings is None
+    found = [m.add_mentions(df, ["k"], {"x": "t"}, lex) for lex in (few, many)]
+    assert "Join" not in found[0]._jdf.queryExecution().optimizedPlan().toString()
+    one, other = ({r.k: r.x for r in f.collect()} for f in found)
+    assert one == other and sum(map(len, one.values())) > 300
+    hits = [{r.k: r.hits for r in m.with_substring_hits(df, "t", lex).collect()} for lex in (few, many)]
+    assert hits[0] == hits[1]
+
+
+def test_mentions_are_worked_out_once(spark):
+    frame = spark.createDataFrame([("A", "latin", "ab", 1), ("B", "latin", "cd", 2)], "canonical string, script string, variant string, ord int")
+    df = spark.createDataFrame([(1, "ab cd"), (2, "x"), (3, None)], "k int, t string")
+    found = m.add_mentions(df, ["k"], {"mentions": "t"}, Lexicon.of(frame))
+    hits = plan.variant_hits(found)
+    assert {(r.canonical, r.hits) for r in hits.collect()} == {("A", 1), ("B", 1)}
+    assert hits._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    log = co.correct(df, ["k"], "t", Lexicon.of(frame), "fuzzy").select("k", rows_of(F.col("corrections"))).where("stage = 'exact'")
+    assert log.count() == 2
+    assert log._jdf.queryExecution().optimizedPlan().toString().count("match(") == 1
