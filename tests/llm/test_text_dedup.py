@@ -189,6 +189,32 @@ def test_hot_groups_are_split_and_keep_exact_repeats(make, monkeypatch):
     test_exact_repeats_among_variants_of_a_frame(make)
 
 
+def test_large_groups_keep_links_between_unlike_surroundings(monkeypatch):
+    import numpy as np
+
+    # one key, and surroundings that all differ: each window meets the three before it
+    rng, rows = random.Random(6), []
+    for i in range(200):
+        rows.append((7, rng.randrange(-(2**62), 2**62), i, 0, 5 << 32 | 5, None))
+    rows.sort(key=lambda r: r[1])
+    names = ["key", "near", "doc", "place", "span", "prev"]
+    kinds = [*[pa.int64()] * 5, pa.binary()]
+    columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
+    batch = pa.RecordBatch.from_arrays(columns, names)
+    want = {frozenset((rows[i][2], rows[j][2])) for i in range(200) for j in range(max(0, i - 3), i)}
+    for size in (2, 20, 10_000):
+        monkeypatch.setattr(sd, "_GROUP", size)
+        out = [r for b in sd._chain(46)(iter([batch])) for r in b.to_pylist()]
+        assert {frozenset((r["a"], r["b"])) for r in out} == want and len(out) == len(want)
+    assert np.all([r["a"] > r["b"] for r in out])
+
+
+@pytest.mark.parametrize("around", [0, 60])
+def test_large_groups_keep_near_copies(make, monkeypatch, around):
+    monkeypatch.setattr(sd, "_GROUP", 20)
+    test_near_copies_among_many_variants_of_a_frame(make, around)
+
+
 def test_null_and_repeated_ids(make):
     text, other = " ".join(prose(5, 70)), " ".join(prose(6, 70))
     docs = make([(None, text), (1, text), (1, text), (2, other), (3, text)])
