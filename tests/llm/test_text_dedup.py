@@ -281,6 +281,44 @@ def test_compact_windows_are_the_cartesian_tree():
         assert got == want
 
 
+def test_runs_of_one_word_are_given_up_at_once(monkeypatch):
+    import numpy as np
+
+    # the run is in both texts, in one of them too short to be a passage, or not at all
+    rng, calls, partner = np.random.default_rng(2), [], sd._partner
+    monkeypatch.setattr(sd, "_partner", lambda *a: calls.append(1) or partner(*a))
+    word, other, third = rng.integers(1, 2**63, 3).astype(np.uint64)
+    x = np.repeat([word, third], [400, 30])
+    assert sd.passages(x, np.repeat([word, other], [37, 90]), 50, 0.8) == []
+    assert len(calls) <= 6
+    assert [r[1] for r in sd.passages(x, np.repeat([word, other], [60, 90]), 50, 0.8)] == [400]
+
+
+def test_regions_of_pairs_cut_by_batches():
+    far = 5 << 32 | 60
+    rows = [(2, 1, 10, far, 10, far), (2, 1, 30, far, 31, far), (3, 1, 5, far, 5, far), (3, 2, 9, -1 - far, 9, far)]
+    columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
+    batch = pa.RecordBatch.from_arrays(columns, ["a", "b", "at_a", "span_a", "at_b", "span_b"])
+    want = [(2, 1, 5, 90, 5, 91), (3, 2, 4, 69, 4, 69)]
+    for size in (1, 2, 3, 4):
+        cut = [batch.slice(at, size) for at in range(0, 4, size)]
+        assert [tuple(r.values()) for b in sd._regions(2)(iter(cut)) for r in b.to_pylist()] == want
+
+
+def test_wanted_windows_equal_those_of_all():
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    for _ in range(40):
+        sizes = rng.integers(0, 90, 4)
+        first = np.concatenate(([0], np.cumsum(sizes)))
+        values, doc = rng.integers(0, 2**62, first[-1]).astype(np.uint64), np.repeat(np.arange(4), sizes)
+        odd = lambda v: v % np.uint64(2) == 1
+        every = np.stack(sd.compact_windows(values, doc, first, 8))
+        some = np.stack(sd.compact_windows(values, doc, first, 8, odd))
+        assert some.tolist() == every[:, odd(values[every[1]])].tolist()
+
+
 def brute_lines(rows: list[tuple]) -> dict:
     seen, out = {}, {}
     for id_, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
