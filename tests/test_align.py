@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from utterlab.functions.align import edit_counts
+from utterlab.functions.align import edit_counts, edit_distances
 from utterlab.plans import wer
 
 
@@ -71,3 +71,29 @@ def test_utterance_and_corpus_rates(spark):
     assert (total.reference_words, round(total.wer, 6)) == (11, round(4 / 11, 6))
     empty = wer.corpus_wer(scored.where(F.lit(False))).first()
     assert empty.wer == 0
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_number_of_edits_equals_the_table(seed):
+    rng = random.Random(seed)
+    refs, hyps = [], []
+    for k in range(800):
+        size, letters = rng.choice([0, 1, 8, 20, 63, 64, 65, 130]), rng.choice([2, 5, 50])
+        pair = [rng.randrange(letters) for _ in range(size)], [rng.randrange(letters) for _ in range(rng.randint(0, size))]
+        kept = [x for x in pair[0] if rng.random() > 0.3]
+        pair = (pair[0], kept) if k % 3 else pair
+        refs.append(pair[k % 2])
+        hyps.append(pair[1 - k % 2])
+    want = edit_counts(packed(refs), packed(hyps)).sum(axis=1)
+    assert edit_distances(packed(refs), packed(hyps)).tolist() == want.tolist()
+
+
+def test_edits_alone_equal_the_counted_kinds(spark):
+    texts = ["", None, "a", "a b c", "b  c", "é a a b", "word " * 130, " ".join(f"w{i}" for i in range(140))]
+    rows = [(r, h) for r in texts for h in texts]
+    df = spark.createDataFrame(rows, "r string, h string").repartition(3)
+    both = wer.score(wer.score(df, F.col("r"), F.col("h")), F.col("r"), F.col("h"), "n_", kinds=False)
+    for c in ("edits", "ref_words", "hyp_words", "utt_wer"):
+        assert both.where(~F.col(c).eqNullSafe(F.col(f"n_{c}"))).count() == 0
+    assert both.where("r IS NULL AND ref_words IS NOT NULL").count() == 0
+    assert {r.ref_words for r in both.where("r = 'b  c'").collect()} == {2}
