@@ -30,7 +30,10 @@ def folder(tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["exact_rewrite", "stream_corrections", "mention_offsets"])
+@pytest.mark.parametrize("name", [
+    "exact_rewrite", "stream_corrections", "mention_offsets", "wer_per_utterance", "wer_number_normalised",
+    "digit_exact_match", "sweep_points", "sweep_pareto", "wer_by_slice",
+])
 def test_equals_sql(spark, folder, name):
     con = duckdb.connect()
     for t in ("benchmark", "documents"):

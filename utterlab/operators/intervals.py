@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from utterlab.operators.scan import running_before
-from utterlab.session import shared_folder
+from utterlab.session import checkpoints
 
 TURN = ["session_id", "turn_id"]
 SLICE_NS = 60_000_000_000
@@ -108,9 +108,7 @@ def critical_path(spans: DataFrame, times: DataFrame) -> DataFrame:
     together, one join and one partial aggregate per step; the number of steps is
     the depth of the deepest path.
     """
-    spark = spans.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    checkpoints(spans.sparkSession)
     last_end = spans.groupBy(*TURN).agg(F.max("end_ns").alias("last_end"))
     cursors = (
         times.join(last_end, TURN)

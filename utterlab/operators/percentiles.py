@@ -15,13 +15,19 @@ def _value_bucket(value: Column) -> Column:
 
 
 def percentiles(
-    df: DataFrame, keys: list[str], value: str, points: dict[str, float], approximate: bool = False
+    df: DataFrame,
+    keys: list[str],
+    value: str,
+    points: dict[str, float],
+    approximate: bool = False,
+    count: str | None = None,
 ) -> DataFrame:
     """Linear-interpolated percentiles per group: keys + n, one column per point, max.
 
     Equal values are counted together first; the running count is carried across
     value buckets; then only the two neighbours of each rank are picked out.
-    ``approximate`` uses the built-in sketch instead.
+    ``approximate`` uses the built-in sketch instead. A row stands for as many equal values as
+    its column ``count`` says (exact form only).
     """
     present = df.where(F.col(value).isNotNull())
     if approximate:
@@ -32,9 +38,11 @@ def percentiles(
         )
     v = F.col("__value")
     counts = (
-        present.select(*keys, F.col(value).cast("double").alias("__value"))
+        present.select(
+            *keys, F.col(value).cast("double").alias("__value"), (F.col(count) if count else F.lit(1)).alias("__rows")
+        )
         .groupBy(*keys, "__value")
-        .agg(F.count(F.lit(1)).alias("__k"))
+        .agg(F.sum("__rows").alias("__k"))
     )
     placed = running_before(counts, keys, _value_bucket(v), ["__value"], F.col("__k"), "sum", "__at")
     sizes = counts.groupBy(*keys).agg(F.sum("__k").alias("n"), F.max("__value").alias("max"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from utterlab.operators.intervals import STAGES, TURN, stage_totals
 from utterlab.operators.percentiles import percentiles
 from utterlab.operators.scan import running_before
+from utterlab.session import checkpoints
 from utterlab.sources.tables import small_side
 
 STAGE_MS = ("endpoint_ms", "stt_ms", "llm_ms", "tts_ms")
@@ -132,15 +133,23 @@ def violations(totals: DataFrame, times: DataFrame, budgets: DataFrame) -> DataF
 def sweep_points(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Per grid cell: corpus error rate, p50 / p90 of stt_ms, real-time factor, n.
 
-    ``rows`` has edits, ref_words, stt_ms, audio_ms.
+    ``rows`` has edits, ref_words, stt_ms, audio_ms. They are read once: what the report needs
+    of rows of equal stt_ms is kept, and every part of the report starts from that.
     """
-    sums = rows.groupBy(*keys).agg(
+    checkpoints(rows.sparkSession)
+    summed = ("edits", "ref_words", "audio_ms")
+    equal = (
+        rows.groupBy(*keys, "stt_ms")
+        .agg(F.count(F.lit(1)).alias("rows"), *[F.sum(c).alias(c) for c in summed])
+        .checkpoint()
+    )
+    stt_ms = F.sum(F.col("stt_ms") * F.col("rows"))
+    sums = equal.groupBy(*keys).agg(
         F.coalesce(F.try_divide(F.sum("edits"), F.sum("ref_words")), F.lit(0.0)).alias("wer"),
-        F.coalesce(F.try_divide(F.sum("stt_ms"), F.sum("audio_ms")), F.lit(0.0)).alias(
-            "realtime_factor"
-        ),
+        F.coalesce(F.try_divide(stt_ms, F.sum("audio_ms")), F.lit(0.0)).alias("realtime_factor"),
     )
-    spread_ = percentiles(rows, keys, "stt_ms", {"stt_p50_ms": 50, "stt_p90_ms": 90}).drop("max")
+    points = {"stt_p50_ms": 50, "stt_p90_ms": 90}
+    spread_ = percentiles(equal, keys, "stt_ms", points, count="rows").drop("max")
     return sums.join(spread_.withColumnRenamed("n", "n_utterances"), keys)
 
 
