@@ -33,6 +33,7 @@ def folder(tmp_path_factory):
 @pytest.mark.parametrize("name", [
     "exact_rewrite", "stream_corrections", "mention_offsets", "wer_per_utterance", "wer_number_normalised",
     "digit_exact_match", "sweep_points", "sweep_pareto", "wer_by_slice",
+    "entity_error_report", "entity_outcomes", "channel_entities", "entity_false_rewrites",
 ])
 def test_equals_sql(spark, folder, name):
     con = duckdb.connect()
